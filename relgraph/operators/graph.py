@@ -77,7 +77,7 @@ def apply_budget(candidates: DataFrame, order: list[str], limits: Limits) -> dic
     text = F.to_json(F.struct(F.col("id").alias("key"), F.col("record_kind").alias("kind")))
     # {"key":..,"kind":..} plus ,"body": and the body, which is already JSON
     length = F.octet_length(text) + F.octet_length("body") + len(',"body":')
-    head = usable.withColumn("length", length.cast("long")).orderBy(*order).limit(limits.max_nodes + 1)
+    head = cut(usable.withColumn("length", length.cast("long")).orderBy(*order).limit(limits.max_nodes + 1))
     everything = W.partitionBy(F.lit(0)).orderBy(*order)
     sized = (
         head.withColumn("rn", F.row_number().over(everything))
@@ -108,7 +108,7 @@ def apply_budget(candidates: DataFrame, order: list[str], limits: Limits) -> dic
             F.array(F.when(F.col("byte_limit"), F.lit("byte-limit")), F.when(F.col("node_limit"), F.lit("node-limit")))
         ).alias("reasons"),
     )
-    return {"records": records, "envelope": envelope}
+    return {"head": head, "records": records, "envelope": envelope}
 
 
 def context_candidates(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
@@ -120,30 +120,27 @@ def context_candidates(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataF
         | F.array_contains(F.split(F.col("id"), ":"), symbol)
     )
     named = F.coalesce(named, F.lit(False))
-    hits = every.where(named)
     seeds = (
-        hits.select(F.explode(F.array("id", "readable")).alias("seed")).where(F.col("seed").isNotNull()).distinct()
+        every.where(named).select(F.explode(F.array("id", "readable")).alias("seed")).where(F.col("seed").isNotNull()).distinct()
     )
-    around = every.where((F.col("role") == 1) & ~named)
-    # an OR of two equalities would not be a hash join
-    by_source = around.join(seeds.withColumnRenamed("seed", "source_id"), "source_id", "left_semi")
-    by_target = around.join(seeds.withColumnRenamed("seed", "to_id"), "to_id", "left_semi").join(
-        seeds.withColumnRenamed("seed", "source_id"), "source_id", "left_anti"
-    )
-    columns = every.columns
+    # two joins on one column each; an OR of two equalities would not be a hash join
+    from_seed = seeds.select(F.col("seed").alias("source_id"), F.lit(True).alias("_from"))
+    to_seed = seeds.select(F.col("seed").alias("to_id"), F.lit(True).alias("_to"))
     return (
-        hits.select(F.lit(0).alias("phase"), *columns)
-        .unionByName(by_source.select(F.lit(1).alias("phase"), *columns))
-        .unionByName(by_target.select(F.lit(1).alias("phase"), *columns))
+        every.join(from_seed, "source_id", "left")
+        .join(to_seed, "to_id", "left")
+        .where(named | F.col("_from").isNotNull() | F.col("_to").isNotNull())
+        .select(F.when(named, 0).otherwise(1).alias("phase"), *every.columns)
     )
 
 
 def context(nodes: DataFrame, edges: DataFrame, symbol: str, limits: Limits = Limits()) -> dict[str, DataFrame]:
     """The records around a symbol under a budget; raises when the symbol is unknown."""
-    found = context_candidates(nodes, edges, symbol)
-    if found.where(F.col("phase") == 0).limit(1).isEmpty():
+    answer = apply_budget(context_candidates(nodes, edges, symbol), ["phase", "role", "id"], limits)
+    # hits come first in the order, so an answer without any means an unknown symbol
+    if answer["head"].where(F.col("phase") == 0).isEmpty():
         raise SymbolNotFound(symbol)
-    return apply_budget(found, ["phase", "role", "id"], limits)
+    return answer
 
 
 def _roots(spark: SparkSession, ids: list[str]) -> DataFrame:

@@ -252,23 +252,21 @@ def join_http(endpoints: DataFrame, clients: DataFrame, aliases: DataFrame) -> d
         .join(hosts, "host", "left")
     )
     requests = placed.where(F.col("server_project").isNotNull()).select("server_project", "verb", "request_path").distinct()
-    parts = routes.route_segments(F.col("request_path"))
-    first = F.lower(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
-    count = F.size(parts).cast("string")
     star = F.lit("*")
     probe = lambda a, b: F.concat(a, F.lit("/"), b)
+    first = F.lower(F.coalesce(F.get("given", F.lit(0)), F.lit("")))
+    count = F.size("given").cast("string")
     probes = F.array(probe(count, first), probe(count, star), probe(star, first), probe(star, star))
-    probed = requests.withColumn("probe", F.explode(probes))
+    probed = requests.withColumn("given", routes.route_segments(F.col("request_path"))).withColumn("probe", F.explode(probes))
     shape = routes.route_shape(F.col("template"))
     own = probe(F.coalesce(shape["segments"].cast("string"), star), F.coalesce(shape["head"], star))
     declared = endpoints.select(
-        F.col("project").alias("server_project"), "verb", F.col("file").alias("server_file"), "template", own.alias("probe")
+        F.col("project").alias("server_project"), "verb", own.alias("probe"),
+        routes.route_segments(F.col("template")).alias("wanted"),
+        F.struct(F.col("file").alias("server_file"), routes.normalize_route(F.col("template")).alias("endpoint_template")).alias("endpoint"),
     )
-    hits = (
-        probed.join(declared, ["server_project", "verb", "probe"])
-        .where(routes.path_matches(F.col("template"), F.col("request_path")))
-        .withColumn("endpoint_template", routes.normalize_route(F.col("template")))
-        .withColumn("endpoint", F.struct("server_file", "endpoint_template"))
+    hits = probed.join(declared, ["server_project", "verb", "probe"]).where(
+        routes.segments_match(F.col("wanted"), F.col("given"))
     )
     keys = ["server_project", "verb", "request_path"]
     summary = candidate_summary(hits, keys, "endpoint")
@@ -301,7 +299,7 @@ def join_http(endpoints: DataFrame, clients: DataFrame, aliases: DataFrame) -> d
     several = summary.where("rows > 1").select(*keys)
     return {
         "outcomes": outcomes,
-        "candidates": hits.join(several, keys, "left_semi").select(*keys, "server_file", "endpoint_template"),
+        "candidates": hits.join(several, keys, "left_semi").select(*keys, "endpoint.server_file", "endpoint.endpoint_template"),
     }
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("relations", "checks_scalar", "checks_inventory")
+_MODULES = ("relations", "checks_scalar", "checks_inventory", "checks_graph", "checks_resolve")
 
 
 def load():

@@ -8,11 +8,15 @@ independently of those.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relgraph.session import shared_dir
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -24,24 +28,31 @@ _NAME = re.compile(r"@([a-z_0-9]+)")
 _TABLE = re.compile(r"\$(" + "|".join(TABLES) + r")\b")
 
 
-def relation(name: str, sql: str) -> None:
+# Relations that stand for stored tables: written once per session to the shared folder.
+STORED: set[str] = set()
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def relation(name: str, sql: str, stored: bool = False) -> None:
     RELATIONS[name] = sql
+    if stored:
+        STORED.add(name)
 
 
-def _ordered(sql: str, seen: list[str]) -> list[str]:
+def _ordered(sql: str, seen: list[str], bodies: dict[str, str]) -> list[str]:
     for name in _NAME.findall(sql):
         if name not in seen:
-            _ordered(RELATIONS[name], seen)
+            _ordered(bodies[name], seen, bodies)
             seen.append(name)
     return seen
 
 
-def _with(sql: str) -> str:
-    names = _ordered(sql, [])
+def _with(sql: str, bodies: dict[str, str] = RELATIONS) -> str:
+    names = _ordered(sql, [], bodies)
     body = _NAME.sub(r"r_\1", sql)
     if not names:
         return body
-    ctes = ",\n".join(f"r_{n} AS ({_NAME.sub(lambda m: 'r_' + m.group(1), RELATIONS[n])})" for n in names)
+    ctes = ",\n".join(f"r_{n} AS ({_NAME.sub(lambda m: 'r_' + m.group(1), bodies[n])})" for n in names)
     recursive = body.lstrip()
     if recursive.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {ctes},\n{recursive[len('WITH RECURSIVE'):]}"
@@ -58,11 +69,29 @@ def duck_sql(sql: str) -> str:
     )
 
 
+def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    bodies = dict(RELATIONS)
+    for name in _ordered(sql, [], RELATIONS):
+        if name in STORED:
+            bodies[name] = f"SELECT * FROM parquet.`{_stored(spark, sf_dir, name)}`"
+    return spark.sql(_TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", _with(sql, bodies)))
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
+        path = f"{shared_dir(spark)}/relgraph-tables/{key[0]}-{tag}-{uuid.uuid4().hex[:8]}/{name}"
+        _run(spark, sf_dir, RELATIONS[name]).write.parquet(path)
+        _written[key] = path
+    return _written[key]
+
+
 def rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A relation as a DataFrame; a bare table name reads that table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sql = f"SELECT * FROM @{name}" if name in RELATIONS else f"SELECT * FROM ${name}"
-    return spark.sql(_TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", _with(sql)))
+    return _run(spark, sf_dir, sql)
 
 
 def query(name: str, sql: str | None = None):
