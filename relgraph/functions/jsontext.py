@@ -22,51 +22,47 @@ OUTSIDE_ROOT = "<outside-root>"
 # -------------------------------------------------------------------------------
 
 
-def _dump(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-
-@F.pandas_udf(T.StringType())
-def _canonical(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else _dump(json.loads(t)))
-
-
 def canonical_json(text: Column) -> Column:
     """Compact JSON with sorted keys."""
-    return _canonical(text)
-
-
-def _normal_path(raw: str, root: str | None) -> str:
-    path = raw.replace("\\", "/").strip()
-    while path.startswith("./"):
-        path = path[2:]
-    if root is None:
-        return path
-    base = root.replace("\\", "/").rstrip("/")
-    if path.startswith(base):
-        return path[len(base):].lstrip("/")
-    absolute = path.startswith("/") or path[1:2] == ":"
-    return OUTSIDE_ROOT if absolute else path
-
-
-def _identity(value, root):
-    if isinstance(value, dict):
-        return {
-            k: _normal_path(v, root) if k in PATH_FIELDS and isinstance(v, str) else _identity(v, root)
-            for k, v in value.items()
-            if k not in VOLATILE_FIELDS
-        }
-    if isinstance(value, list):
-        return [_identity(v, root) for v in value]
-    return value
+
+    @F.pandas_udf(T.StringType())
+    def convert(series: pd.Series) -> pd.Series:
+        dump = lambda value: json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        return series.map(lambda t: None if t is None else dump(json.loads(t)))
+
+    return convert(text)
 
 
 def identity_json(text: Column, root: str | None = None) -> Column:
     """Canonical JSON without volatile fields and with paths relative to ``root``."""
+    volatile, path_fields, outside = list(VOLATILE_FIELDS), list(PATH_FIELDS), OUTSIDE_ROOT
+
+    def normal_path(raw: str) -> str:
+        path = raw.replace("\\", "/").strip()
+        while path.startswith("./"):
+            path = path[2:]
+        if root is None:
+            return path
+        base = root.replace("\\", "/").rstrip("/")
+        if path.startswith(base):
+            return path[len(base):].lstrip("/")
+        return outside if path.startswith("/") or path[1:2] == ":" else path
+
+    def identity(value):
+        if isinstance(value, dict):
+            return {
+                k: normal_path(v) if k in path_fields and isinstance(v, str) else identity(v)
+                for k, v in value.items()
+                if k not in volatile
+            }
+        if isinstance(value, list):
+            return [identity(v) for v in value]
+        return value
 
     @F.pandas_udf(T.StringType())
     def convert(series: pd.Series) -> pd.Series:
-        return series.map(lambda t: None if t is None else _dump(_identity(json.loads(t), root)))
+        dump = lambda value: json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        return series.map(lambda t: None if t is None else dump(identity(json.loads(t))))
 
     return convert(text)
 

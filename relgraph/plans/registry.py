@@ -82,7 +82,7 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> str:
     if key not in _written:
         tag = hashlib.sha256(sf_dir.encode()).hexdigest()[:12]
         path = f"{shared_dir(spark)}/relgraph-tables/{key[0]}-{tag}-{uuid.uuid4().hex[:8]}/{name}"
-        _run(spark, sf_dir, RELATIONS[name]).write.parquet(path)
+        _run(spark, sf_dir, RELATIONS[name]).repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _written[key] = path
     return _written[key]
 

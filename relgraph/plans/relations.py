@@ -306,7 +306,7 @@ SELECT 'orders' AS project, 'src/o' || cast(o_orderkey AS string) || '.cs' AS pa
          || '  public class Inner<T> where T : class {' || chr(10) || '    void Deep() { var q = "DELETE FROM [dbo].[D' || cast(o_custkey AS string) || ']"; }' || chr(10)
          || '  }' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '}' ELSE '' END || chr(10) END AS content,
        o_orderkey, o_custkey, o_orderstatus
-FROM $orders""")
+FROM $orders""", stored=True)
 
 relation("ts_source", """
 SELECT 'orders' AS project, 'web/o' || cast(o_orderkey AS string) || '.ts' AS path,
@@ -317,4 +317,4 @@ SELECT 'orders' AS project, 'web/o' || cast(o_orderkey AS string) || '.ts' AS pa
        || 'class P' || cast(o_orderkey AS string) || ' extends Q' || o_orderstatus || ' implements W' || cast(o_orderkey AS string) || ', IKeyed {' || chr(10)
        || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '}' || chr(10) END || 'type Id = string;' || chr(10) AS content,
        o_orderkey, o_custkey, o_orderstatus
-FROM $orders""")
+FROM $orders""", stored=True)
