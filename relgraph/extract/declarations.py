@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from relgraph.extract.scopes import FILE, ahead, brace_depth, enclosing, in_file, lines, naive_delta, upto
 from relgraph.functions import identity
 from relgraph.functions.literals import strip_comment_plain
-from relgraph.functions.text import lstrip, strip, words
+from relgraph.functions.text import let, lstrip, strip, words
 
 # ---- fixed values -------------------------------------------------------------
 TYPE_KEYWORDS = ["class", "interface", "struct", "record", "enum"]
@@ -58,15 +58,16 @@ def _type_name(keyword: Column, rest: Column) -> Column:
 
 
 def _method_name(text: Column) -> Column:
-    before = F.substring_index(text, "(", 1)
-    name = F.regexp_extract(before, rf"([{_LETTERS}_]+)[^{_LETTERS}_]*$", 1)
-    tokens = words(before)
-    labelled = F.exists(tokens, lambda t: t.endswith(":") & (t != ":"))
-    good = (
-        F.contains(text, F.lit("(")) & F.contains(text, F.lit(")")) & ~F.contains(before, F.lit("="))
-        & (name != "") & ~name.isin(*CONTROL_KEYWORDS) & (F.size(tokens) >= 2) & ~labelled
-    )
-    return F.when(good, name)
+    def named(before: Column, name: Column) -> Column:
+        fits = lambda tokens: (F.size(tokens) >= 2) & ~F.exists(tokens, lambda t: t.endswith(":") & (t != ":"))
+        return F.when((name != "") & ~name.isin(*CONTROL_KEYWORDS) & let(words(before), fits), name)
+
+    def read(before: Column) -> Column:
+        name = F.regexp_extract(before, rf"([{_LETTERS}_]+)[^{_LETTERS}_]*$", 1)
+        return F.when(~F.contains(before, F.lit("=")), let(name, lambda n: named(before, n)))
+
+    shaped = F.contains(text, F.lit("(")) & F.contains(text, F.lit(")"))
+    return F.when(shaped, let(F.substring_index(text, "(", 1), read))
 
 
 def _with_keys(decls: DataFrame, base_key: Column) -> DataFrame:
@@ -168,15 +169,20 @@ def csharp_diagnostics(files: DataFrame) -> DataFrame:
 
 
 def _identifier(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, rf"^([{_LETTERS}_$]+)", 1), F.lit(""))
+    return let(F.regexp_extract(text, rf"^([{_LETTERS}_$]+)", 1), lambda name: F.nullif(name, F.lit("")))
 
 
 def _ts_classified(text: Column) -> Column:
     """``struct<kind, name, quality>`` of a declaration line, else null."""
-    exported = F.regexp_replace(text, r"^export \s*", "")
-    body = lstrip(F.when(text.startswith("export "), exported).otherwise(text))
+    exported = lstrip(F.regexp_replace(text, r"^export ", ""))
+    bare = lambda body: let(F.regexp_replace(body, r"^abstract ", ""), lambda plain: _ts_shape(body, plain))
+    return F.when(
+        text.rlike(r"^(?:export|default|abstract|class|interface|namespace|type|async|function|const|let|var)\b"), let(exported, bare)
+    )
+
+
+def _ts_shape(body: Column, plain: Column) -> Column:
     default = F.regexp_replace(body, r"^default ", "")
-    plain = F.regexp_replace(body, r"^abstract ", "")
 
     def named(kind: str, name: Column) -> Column:
         return F.struct(

@@ -36,7 +36,17 @@ def lines(files: DataFrame, *stages, keep=None, ordered: bool = False) -> DataFr
         rows, names = _staged(rows, names, stage)
         if number == 0 and keep is not None:
             rows = F.filter(rows, keep)
-    return source.select(*FILE, F.explode(rows).alias("l")).select(*FILE, "l.*")
+    return unnest(source, FILE, rows)
+
+
+def unnest(df: DataFrame, keep: list[str], rows: Column) -> DataFrame:
+    """One row per struct of the array ``rows``, beside the columns to keep.
+
+    A plain ``explode`` makes the optimiser add size and null tests on the array, which
+    would evaluate a long expression three times; the outer form does not.
+    """
+    outer = df.select(*keep, F.explode_outer(rows).alias("_r"))
+    return outer.where(F.col("_r").isNotNull()).select(*keep, "_r.*")
 
 
 def _staged(rows: Column, names: list[str], stage) -> tuple[Column, list[str]]:
@@ -110,9 +120,7 @@ def enclosing(marked: DataFrame, keep: list[str]) -> DataFrame:
     ).otherwise(nothing)
     top = before - F.when(F.col("opener").isNotNull(), 0).otherwise(1)
     ended = F.when(after <= top, F.transform(F.sequence(after, top), lambda l: event(l, 2, closed))).otherwise(nothing)
-    events = staged.select(*FILE, "line", "decl_epoch", *keep, F.explode(F.concat(own, asked, opened, ended)).alias("e")).select(
-        *FILE, "line", "decl_epoch", *keep, "e.level", "e.order", "e.held"
-    )
+    events = unnest(staged, [*FILE, "line", "decl_epoch", *keep], F.concat(own, asked, opened, ended))
     at_level = W.partitionBy(*FILE, "level").orderBy("line", "order")
     seen = events.withColumn("seen", F.last("held", ignorenulls=True).over(ahead(at_level))).where(F.col("order") == 0)
     is_open = F.col("seen.open") & (F.col("seen.epoch") == F.col("decl_epoch"))

@@ -126,7 +126,7 @@ UNION ALL SELECT path, 'dependencies:n', '', 'unresolved', 'requires-resolution'
 UNION ALL SELECT path, 'script:build', p_type, 'unresolved', 'requires-execution' FROM @npm_source WHERE p_partkey % 50 <> 0
 UNION ALL SELECT path, NULL, NULL, 'error', 'manifest-parse-failed' FROM @npm_source WHERE p_partkey % 50 = 0""")
 def _(read):
-    return manifests.package_file_facts(read("npm_source"))
+    return manifests.package_file_facts(read("npm_source")).drop("project")
 
 
 relation("controller_source", """
