@@ -41,12 +41,21 @@ def _pair(case_insensitive: bool):
     return step
 
 
+def bounded_flushes(hints: DataFrame) -> DataFrame:
+    """The hints of flushes within the bound; an oversized flush asks for a full scan instead."""
+    refused = flush_sizes(hints).where(F.col("hints") > MAX_FLUSH)
+    return hints.join(refused.select("project_id", "flush_id"), ["project_id", "flush_id"], "left_anti")
+
+
 def pair_renames(hints: DataFrame, case_insensitive: bool = False) -> DataFrame:
     """Pairs of each flush: a renamed-to path takes its twin or else the first unused origin.
 
-    Only flushes of at most 4096 hints reach this; larger ones are refused before
-    (``flush_sizes``), so a flush is a bounded group.
+    A flush has at most 4096 hints, larger ones have no pairs, so this is a bounded group.
     """
+    return _pairs(bounded_flushes(hints), case_insensitive)
+
+
+def _pairs(hints: DataFrame, case_insensitive: bool) -> DataFrame:
     is_from, is_to = F.col("kind") == "renamed_from", F.col("kind") == "renamed_to"
     in_order = lambda flag: F.transform(
         F.array_sort(F.collect_list(F.when(flag, F.struct("seq", "path")))), lambda r: r["path"]
@@ -71,7 +80,7 @@ def normalize_hints(hints: DataFrame, case_insensitive: bool = False) -> dict[st
     sizes = flush_sizes(hints)
     refused = sizes.where(F.col("hints") > MAX_FLUSH)
     flush = ["project_id", "flush_id"]
-    bounded = hints.join(refused.select(*flush), flush, "left_anti")
+    bounded = bounded_flushes(hints)
     none = F.lit(None).cast("string")
     direct = bounded.where(F.col("kind").isin("created", "modified", "removed", "renamed_from")).select(
         *flush,
@@ -80,7 +89,7 @@ def normalize_hints(hints: DataFrame, case_insensitive: bool = False) -> dict[st
         F.when(F.col("kind").isin("removed", "renamed_from"), "remove").otherwise("upsert").alias("action"),
         "path", none.alias("origin"), F.lit(False).alias("case_only"),
     )
-    pairs = pair_renames(bounded, case_insensitive)
+    pairs = _pairs(bounded, case_insensitive)
     renamed = pairs.select(*flush, F.posexplode("pairs").alias("position", "p")).select(
         *flush, F.lit(2).alias("phase"), F.col("position").cast("long").alias("position"), F.lit("upsert").alias("action"),
         "p.path", "p.origin", "p.case_only",

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("relations", "checks_scalar", "checks_inventory", "checks_graph", "checks_resolve", "checks_snapshots", "checks_extract")
+_MODULES = ("relations", "checks_scalar", "checks_inventory", "checks_graph", "checks_resolve", "checks_snapshots", "checks_extract", "checks_sources")
 
 
 def load():

@@ -64,9 +64,8 @@ def _with(sql: str, bodies: dict[str, str] = RELATIONS) -> str:
 def duck_sql(sql: str) -> str:
     text = _TABLE.sub(r"\1", _with(sql))
     text = re.sub(r"sha2\(([^()]*(?:\([^()]*\)[^()]*)*), 256\)", r"sha256(\1)", text)
-    return (
-        text.replace("octet_length(", "strlen(").replace(" div ", " // ").replace("unix_millis(", "epoch_ms(")
-    )
+    text = re.sub(r"unix_millis\((cast\(\w+ AS timestamp\))\)", r"(epoch_us(\1) // 1000)", text)
+    return text.replace("octet_length(", "strlen(").replace(" div ", " // ")
 
 
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
