@@ -84,7 +84,7 @@ HINTS = "project_id string, ts_ms long, seq long, path string, ts timestamp"
 def hint_rows(spark, n=60):
     data, t = [], 1_700_000_000_000
     for i in range(n):
-        t += [100, 300, 900, 50, 2500][i % 5]
+        t += [100, 300, 900, 50, 2500][i % 5] + (9000 if i % 11 == 10 else 0)
         data.append((f"p{i % 2}", t, i, f"f{i % 7}.cs"))
     base = spark.createDataFrame(data, "project_id string, ts_ms long, seq long, path string")
     return base.withColumn("ts", F.timestamp_millis("ts_ms"))
@@ -135,9 +135,9 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     # a last hint far ahead moves the watermark past every earlier deadline
     closing = spark.createDataFrame([("end", 1_800_000_000_000, 10_000, "x")], "project_id string, ts_ms long, seq long, path string")
     full = df.unionByName(closing.withColumn("ts", F.timestamp_millis("ts_ms")))
-    got = run(stateful.debounce_stream(as_stream(spark, full, tmp_path), 2500, 4000), spark, tmp_path).where("project_id <> 'end'")
+    got = run(stateful.debounce_stream(as_stream(spark, full, tmp_path), 3000, 4000), spark, tmp_path).where("project_id <> 'end'")
     columns = ("project_id", "flush_ms", "trigger", "path")
-    assert rows(got, *columns) == rows(windows.debounce(df, 2500, 4000), *columns)
+    assert rows(got, *columns) == rows(windows.debounce(df, 3000, 4000), *columns)
     assert {r.trigger for r in got.collect()} == {"quiet_period", "maximum_wait"}
 
 
