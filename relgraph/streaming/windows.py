@@ -56,16 +56,21 @@ def debounce(hints: DataFrame, quiet_ms: int = QUIET_MS, max_ms: int = MAX_WAIT_
     )
 
 
-def rate_limit(records: DataFrame, per_window: int, seconds: int = RATE_SECONDS) -> DataFrame:
-    """recorded / notice / suppressed for each ``(target, ts_ms, seq)`` record."""
+def rate_limit(records: DataFrame, per_window: int, seconds: int = RATE_SECONDS, salts: int = 32) -> DataFrame:
+    """recorded / notice / suppressed for each ``(target, ts_ms, seq)`` record.
+
+    Only the first ``per_window + 1`` records of a window can be anything but suppressed,
+    so each salt keeps that many and only those are ranked together.
+    """
     stamps = records.select("target", "ts_ms").distinct()
     windows = _anchored(stamps, "target", seconds * 1000, None)
-    rank = F.row_number().over(W.partitionBy("target", "anchor").orderBy("ts_ms", "seq"))
-    return (
-        records.join(windows, ["target", "ts_ms"])
-        .withColumn("n", rank)
-        .select(
-            *records.columns,
-            F.when(F.col("n") <= per_window, "recorded").when(F.col("n") == per_window + 1, "notice").otherwise("suppressed").alias("outcome"),
-        )
+    order = ["ts_ms", "seq"]
+    salted = records.join(windows, ["target", "ts_ms"]).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(salts)))
+    local = salted.withColumn("n", F.row_number().over(W.partitionBy("target", "anchor", "salt").orderBy(*order)))
+    early = local.where(F.col("n") <= per_window + 1)
+    late = local.where(F.col("n") > per_window + 1)
+    ranked = early.withColumn("n", F.row_number().over(W.partitionBy("target", "anchor").orderBy(*order)))
+    outcome = F.when(F.col("n") <= per_window, "recorded").when(F.col("n") == per_window + 1, "notice").otherwise("suppressed")
+    return ranked.select(*records.columns, outcome.alias("outcome")).unionByName(
+        late.select(*records.columns, F.lit("suppressed").alias("outcome"))
     )

@@ -52,10 +52,10 @@ def test_csharp_scopes(spark):
         (12, "enum", "Kind", ("Shop.Core", "Clock", "Inner")),
         (13, "method", "Deep", ("Shop.Core", "Clock", "Inner")),
         (15, "method", "After", ("Shop.Core", "Clock")),
-        (22, "method", "NotPending", ("Shop.Core",)),
-        (24, "namespace", "Shop.Other", ()),
+        (23, "method", "NotPending", ("Shop.Core",)),
+        (25, "namespace", "Shop.Other", ()),
         # a type keyword at the start of a line declares no type, and two words before "(" are a method
-        (25, "method", "Point", ("Shop.Other",)),
+        (26, "method", "Point", ("Shop.Other",)),
     ]
 
 
