@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch whose texts hold about ``limit`` bytes, one row at least."""
-    sizes = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at, rows = 0, batch.num_rows
     while at < rows:
@@ -53,7 +54,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row, and the offsets of each; null counts as empty."""
     column = column.cast(pa.large_binary())
     if column.null_count:
-        column = pa.compute.fill_null(column, b"")
+        column = pc.fill_null(column, b"")
     column = pa.concat_arrays([column])
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
     data = column.buffers()[2]
