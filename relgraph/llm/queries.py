@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import jaccard, quality, sharding, urls
+from relgraph.llm import jaccard, packing, quality, repeats, sentences, sharding, tokenfile, urls
 from relgraph.llm.common import table
+from relgraph.session import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +88,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
+@query("op3_retrieval_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/relgraph-llm/{uuid.uuid4().hex}/tokens"
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return tokenfile.digests(tokenfile.read_tokens(spark, folder))
+
+
+@query("op10_sentence_spans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = sentences.drop_repeated_spans(table(spark, sf_dir, "documents"))
+    return kept.withColumns({"n_bytes": F.octet_length("text").cast("long"), "kept_sha256": F.sha2("text", 256)})
+
+
+@query("op5_repeated_strings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 200).drop("kept")
