@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import jaccard, packing, quality, repeats, sentences, sharding, tokenfile, urls
+from relgraph.llm import decontaminate, html, jaccard, packing, quality, repeats, sentences, sharding, tokenfile, urls
 from relgraph.llm.common import table
 from relgraph.session import shared_dir
 
@@ -111,3 +111,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_repeated_strings")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 200).drop("kept")
+
+
+@query("op4_consensus_paths")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op6_edit_matching")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_items", "best_item", "best_distance", (F.col("n_items") > 0).alias("contaminated"))

@@ -185,30 +185,50 @@ def _reduce(last: bool):
     return run
 
 
-def _cut(length: int):
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-        ("kept", pa.binary()),
-    ])
+def _without(text: bytes, spans) -> tuple[bytes, int, int]:
+    """The text without its spans, and the bytes and the runs of bytes that went."""
+    if not spans.is_valid or not len(spans.values):
+        return text, 0, 0
+    edge = np.zeros(len(text) + 1, np.int32)
+    np.add.at(edge, spans.values.field("lo").to_numpy(), 1)
+    np.add.at(edge, spans.values.field("hi").to_numpy(), -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
+    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
+
+_CUT = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
+    ("kept", pa.binary()),
+])
+
+
+def _cut(batches):
+    for batch in batches:
+        out = [[] for _ in _CUT]
+        for i, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_spans")):
+            kept, removed, runs = _without(text or b"", spans)
+            for column, value in zip(out, (i, len(text or b""), removed, runs, hashlib.sha256(kept).hexdigest(), kept)):
+                column.append(value)
+        yield rows_out(_CUT, *out)
+
+
+def _strip(names: list[str], text: str):
     def run(batches):
         for batch in batches:
-            out = [[] for _ in schema]
-            for i, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans")):
-                text, n, removed = text or b"", 0, 0
-                kept = text
-                if spans.is_valid and len(spans.values):
-                    lo, hi = (spans.values.field(k).to_numpy() for k in ("lo", "hi"))
-                    edge = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(edge, lo, 1)
-                    np.add.at(edge, hi, -1)
-                    gone = np.cumsum(edge[:-1]) > 0
-                    removed = int(gone.sum())
-                    n = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
-                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                for column, value in zip(out, (i, len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept)):
-                    column.append(value)
-            yield rows_out(schema, *out)
+            texts, stays, lengths = [], [], []
+            for old, spans in zip(batch.column(text), batch.column("_spans")):
+                value, kept, removed = old.as_py(), None, 0
+                if spans.is_valid:
+                    kept, removed, _ = _without(value.encode(), spans)
+                    value = kept.decode("utf-8", "ignore")
+                texts.append(value)
+                stays.append(not removed or bool(value.strip()))
+                lengths.append(None if value is None else len(value))
+            columns = {n: batch.column(n) for n in names} | {text: pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array(lengths, columns["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(columns).filter(pa.array(stays))
 
     return run
 
@@ -257,10 +277,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, prefix: int = 100, text:
     texts remove each other whole. Null texts count as empty; null and repeated ids
     are rows as any other; other columns of ``docs`` are left out.
     """
-    whole = docs.select("doc_id", F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
-    spans = repeated_spans(docs, length, prefix, text).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("on_id"), F.col("copy").alias("on_copy"), "spans")
-    met = whole.join(spans, F.col("doc_id").eqNullSafe(F.col("on_id")) & (F.col("copy") == F.col("on_copy")), "left")
-    return met.select("doc_id", "text", "spans").mapInArrow(
-        _cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    whole = docs.select("doc_id", F.col(text).alias("text"))
+    return _marked(whole, repeated_spans(docs, length, prefix, text), "text").select("doc_id", "text", "_spans").mapInArrow(
+        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
+
+
+def _marked(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
+    """Rows of ``docs`` with the list of their spans, null if there are none."""
+    lists = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
+    lists = lists.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_spans")
+    mine = docs.withColumn("_mine", F.xxhash64(text))
+    return mine.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_copy")), "left").select(*docs.columns, "_spans")
+
+
+def strip_repeats(docs: DataFrame, length: int = 200, prefix: int = 100, text: str = "text") -> DataFrame:
+    """``docs`` with what ``remove_repeats`` leaves of each text, all other columns kept.
+
+    Where a cut falls inside of a character, the rest of that character goes too.
+    Documents of which nothing but white space is left go; texts that lose nothing,
+    null and empty ones too, stay as they are. A column ``n_chars`` follows the text.
+    """
+    marked = _marked(docs, repeated_spans(docs, length, prefix, text), text)
+    return marked.mapInArrow(_strip(docs.columns, text), docs.schema)
