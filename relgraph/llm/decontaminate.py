@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+GRAM = 3
 
 
 def level(text: str) -> str:
-    """A-Z lower-cased, white space as one blank each."""
-    return " ".join(text.translate(_LOWER).split())
+    """Lower case, white space as one blank each."""
+    return " ".join(text.lower().split())
+
+
+def grams(text: str) -> set[str]:
+    return set(map("".join, zip(text, text[1:], text[2:])))
 
 
 class Pattern(NamedTuple):
@@ -23,6 +27,11 @@ class Pattern(NamedTuple):
     text: str
     budget: int
     masks: dict[str, int]
+    grams: set[str]
+
+    def near(self, text: str) -> bool:
+        """Whether enough three-character grams are there; each edit can spoil no more than three of them."""
+        return len(self.grams & grams(text)) >= len(self.grams) - GRAM * self.budget
 
 
 def pattern(item: int, text: str, rate: float) -> Pattern:
@@ -30,7 +39,7 @@ def pattern(item: int, text: str, rate: float) -> Pattern:
     masks: dict[str, int] = {}
     for k, c in enumerate(text):
         masks[c] = masks.get(c, 0) | 1 << k
-    return Pattern(item, text, int(len(text) * rate), masks)
+    return Pattern(item, text, int(len(text) * rate), masks, grams(text))
 
 
 def pieces(text: str, budget: int) -> list[tuple[int, str]]:
@@ -103,7 +112,7 @@ class Matcher:
             p = self.patterns[number]
             for lo, hi in spans:
                 part = text[lo:hi]
-                d = 0 if p.text in part else distance(p, part)
+                d = 0 if p.text in part else distance(p, part) if p.near(part) else p.budget + 1
                 if d <= p.budget:
                     found[p.item] = min(d, found.get(p.item, d))
         return found
@@ -133,11 +142,12 @@ def _match(items, rate, text, names):
     return run
 
 
-def match_items(docs: DataFrame, items: DataFrame, rate: float = 0.1, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` with ``n_items``, ``best_item`` and ``best_distance``: benchmark items that each whole text holds.
+def match_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, text: str = "text", keep: list[str] | None = None,
+                block_bytes: int = 4 << 20) -> DataFrame:
+    """``docs``, or the columns of it named in ``keep``, with ``n_items``, ``best_item`` and ``best_distance``: benchmark items that each whole text holds.
 
     An item (``item_id, text``) occurs where some part of the text is within ``rate``
-    times its length of edits, with A-Z lower-cased and white space levelled. The item
+    times its length of edits, in lower case and with white space levelled. The item
     is cut into one more piece than that budget; at least one piece then occurs
     unchanged. All pieces are searched in one pass, and the surroundings of each hit
     are measured by Myers' bit-parallel distance.
@@ -148,19 +158,21 @@ def match_items(docs: DataFrame, items: DataFrame, rate: float = 0.1, text: str
     items each counts; of equal distances the smaller id is best. Columns of ``docs``
     with the three result names are replaced.
     """
-    keep = [c for c in docs.columns if c not in _COLUMNS]
+    keep = [c for c in docs.columns if c not in _COLUMNS and (keep is None or c in keep)]
+    carried = list(dict.fromkeys([*keep, text]))
     listed = items.where("item_id is not null and text rlike '[^\\\\s]'").select("item_id", "text").distinct()
     blocks = max(1, -(-(listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    out = docs.select(*keep, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"),
+    out = docs.select(*carried, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"),
                       F.lit(None).cast("long").alias("best_distance"))
-    schema = StructType([*(docs.schema[c] for c in keep), *(StructField(c, LongType()) for c in _COLUMNS)])
     dealt = listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):
         block = [(r.item_id, t) for r in dealt.where(F.col("block") == k).select("item_id", "text").toLocalIterator() if (t := level(r.text))]
-        out = out.mapInArrow(_match(sorted(block), rate, text, keep), schema)
+        names = keep if k == blocks - 1 else carried
+        schema = StructType([*(docs.schema[c] for c in names), *(StructField(c, LongType()) for c in _COLUMNS)])
+        out = out.mapInArrow(_match(sorted(block), rate, text, names), schema)
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.1, text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, rate: float = 0.08, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item; all their columns."""
     return match_items(docs, items, rate, text).where("n_items = 0").select(*docs.columns)

@@ -122,5 +122,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_edit_matching")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.match_items(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.match_items(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_items", "best_item", "best_distance", (F.col("n_items") > 0).alias("contaminated"))
