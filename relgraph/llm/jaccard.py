@@ -14,7 +14,7 @@ from relgraph.llm.components import components
 
 WORDS = 16  # 64-bit words of a bitmap
 _SET = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
-_PIECE = 1 << 21  # bytes of text hashed at once
+_PIECE = 1 << 20  # bytes of text hashed at once
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +209,9 @@ def _nodes(members: DataFrame, *by: str) -> DataFrame:
 
 
 def traverse(members: DataFrame, share: int, fan: int = 16) -> DataFrame:
-    """Pairs (``a, b``) of documents of one root, in different components, that the trees can't rule out.
+    """Pairs (``a, b``) of sets of one tree, in different components, that the trees can't rule out.
 
-    ``members``: root, doc_id, comp, n, slack and bitmap words. Under a root, sets hang
+    ``members``: tree, doc_id, comp, n, slack and bitmap words. In a tree, sets hang
     by band of sizes, then by component and dealt into nodes of about ``fan``.
     Traversal pairs bands, then nodes of open band pairs, then their sets; a pair of
     nodes is closed when sizes or bits leave no room for a link, or when both hold
@@ -219,29 +219,29 @@ def traverse(members: DataFrame, share: int, fan: int = 16) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) * 50).cast("int")
     sets = members.withColumns({"lo": F.col("n"), "hi": F.col("n"), "band": band})
-    count = sets.groupBy("root", "comp", "band").agg(F.ceil(F.count("*") / fan).alias("dealt"))
-    sets = stored(sets.join(count, ["root", "comp", "band"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets")
-    nodes = stored(_nodes(sets, "root", "band", "comp", "node"), "nodes")
-    bands = stored(_nodes(nodes, "root", "band"), "bands")
+    count = sets.groupBy("tree", "comp", "band").agg(F.ceil(F.count("*") / fan).alias("dealt"))
+    sets = stored(sets.join(count, ["tree", "comp", "band"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets")
+    nodes = stored(_nodes(sets, "tree", "band", "comp", "node"), "nodes")
+    bands = stored(_nodes(nodes, "tree", "band"), "bands")
     x, y = bands.alias("x"), bands.alias("y")
-    open_bands = x.join(y, (F.col("x.root") == F.col("y.root")) & (F.col("x.band") <= F.col("y.band")) & _bound(share)).select(
-        "x.root", F.col("x.band").alias("band"), F.col("y.band").alias("to_band")
+    open_bands = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.band") <= F.col("y.band")) & _bound(share)).select(
+        "x.tree", F.col("x.band").alias("band"), F.col("y.band").alias("to_band")
     )
-    x, y = nodes.join(open_bands, ["root", "band"]).alias("x"), nodes.alias("y")
-    met = (F.col("x.root") == F.col("y.root")) & (F.col("x.to_band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
+    x, y = nodes.join(open_bands, ["tree", "band"]).alias("x"), nodes.alias("y")
+    met = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.to_band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
     ordered = (F.col("x.band") < F.col("y.band")) | (F.col("x.comp") < F.col("y.comp"))
     open_nodes = x.join(y, met & ordered & _bound(share)).select(
-        "x.root", "x.band", "x.comp", "x.node", *(F.col(f"y.{c}").alias(f"to_{c}") for c in ("band", "comp", "node"))
+        "x.tree", "x.band", "x.comp", "x.node", *(F.col(f"y.{c}").alias(f"to_{c}") for c in ("band", "comp", "node"))
     )
-    x, y = sets.join(open_nodes, ["root", "band", "comp", "node"]).alias("x"), sets.alias("y")
-    met = (F.col("x.root") == F.col("y.root")) & (F.col("x.to_band") == F.col("y.band"))
+    x, y = sets.join(open_nodes, ["tree", "band", "comp", "node"]).alias("x"), sets.alias("y")
+    met = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.to_band") == F.col("y.band"))
     met = met & (F.col("x.to_comp") == F.col("y.comp")) & (F.col("x.to_node") == F.col("y.node")) & _bound(share)
     return x.join(y, met).select(
         F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
     ).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text", part_bytes: int = 24 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text", part_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Sets are the distinct ``width``-word shingles of the text with A-Z lower-cased;
@@ -252,9 +252,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     at most d shingles, so of d + 1 hashed parts of both sets one is equal; a set
     hangs under a root for each of its parts. Nearly all roots hold one set and go.
     Under the others, each set is first compared with its root's first one. What
-    this links is one component; trees that still hold several are traversed in
-    pairs of nodes under OR-ed bitmaps and size ranges (``traverse``), and what
-    stays open is compared exactly. So a group of thousands of near copies costs a
+    this links is one component. Roots that still hold several grow together into
+    trees by the sets that they share; trees are traversed in pairs of nodes under
+    OR-ed bitmaps and size ranges (``traverse``), and what stays open is compared exactly. So a group of thousands of near copies costs a
     comparison per copy, and no link between different components is left out.
 
     Null and empty texts have no shingles and stay alone. Null ids are alone too,
@@ -281,17 +281,21 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     named = stored(named.join(leads, "lead").select("root", "doc_id", "n", F.col("lead_rep").alias("lead")).distinct(), "named")
     first = stored(named.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "pairs")
     ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(whole.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     links = stored(_compare(first, texts, width, share), "links")
     groups = stored(components(links), "groups")
     placed = named.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     mixed = placed.groupBy("root").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 < c2 and k > 2").select("root")
     placed = stored(placed.join(mixed, "root").select("root", "doc_id", "n", "comp").distinct(), "placed")
     if not placed.isEmpty():
-        needed = placed.select("doc_id").distinct()
+        # roots that share sets make one tree, so that no pair is met under each of its roots
+        heads = placed.groupBy("root").agg(F.min("doc_id").alias("a"))
+        grown = components(placed.join(heads, "root").select("a", F.col("doc_id").alias("b")))
+        placed = stored(placed.select("doc_id", "n", "comp").distinct(), "sets")
         run, schema = _signatures(width)
-        drawn = stored(texts.join(needed, "doc_id").mapInArrow(run, schema), "signatures")
-        open_pairs = traverse(placed.join(drawn, "doc_id"), share).join(first, ["a", "b"], "left_anti")
+        drawn = stored(texts.join(placed.select("doc_id").distinct(), "doc_id").mapInArrow(run, schema), "signatures")
+        hung = placed.join(grown.select(F.col("node").alias("doc_id"), F.col("component").alias("tree")), "doc_id").join(drawn, "doc_id")
+        open_pairs = traverse(hung, share).join(first, ["a", "b"], "left_anti")
         more = stored(_compare(stored(open_pairs, "open"), texts, width, share), "more")
         if not more.isEmpty():
             groups = stored(components(links.unionByName(more)), "groups")
@@ -305,4 +309,4 @@ def _compare(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> Data
     run, schema = _verify(width, share)
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)

@@ -30,7 +30,7 @@ _ROW = pa.schema([
     ("covered", pa.bool_()), ("deeper", pa.bool_()),
 ])
 _ROW_SQL = "doc_id long, copy long, at int, near int, far int, covered boolean, deeper boolean"
-_PIECE = 1 << 21
+_PIECE = 1 << 20
 
 
 def sample(spans: Spans, offsets: np.ndarray, length: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -233,7 +233,7 @@ def _strip(names: list[str], text: str):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 200, prefix: int = 100, text: str = "text", part_bytes: int = 16 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, prefix: int = 100, text: str = "text", part_bytes: int = 8 << 20) -> DataFrame:
     """Byte spans (``doc_id, copy, lo, hi``) of strings of ``length`` bytes that also start elsewhere.
 
     ``copy`` is the hash of the text, so rows that repeat an id are told apart.
@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, prefix: int = 100, text:
             lists = rows.where("deeper").groupBy("doc_id", "copy").agg(entry)
             texts = work.select("doc_id", "copy", "text").dropDuplicates(["doc_id", "copy"]) if level else whole.select("doc_id", "copy", "text")
             lists = lists.select(F.col("doc_id").alias("on_id"), F.col("copy").alias("on_copy"), "entries")
-            met = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("on_id")) & (F.col("copy") == F.col("on_copy")))
+            met = texts.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("on_id")) & (F.col("copy") == F.col("on_copy")))
             work = stored(met.select("doc_id", "copy", "text", "entries"), f"work{level}")
     return found
 
@@ -288,7 +288,7 @@ def _marked(docs: DataFrame, spans: DataFrame, text: str) -> DataFrame:
     lists = spans.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_spans")
     mine = docs.withColumn("_mine", F.xxhash64(text))
-    return mine.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_copy")), "left").select(*docs.columns, "_spans")
+    return mine.join(lists.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mine") == F.col("_copy")), "left").select(*docs.columns, "_spans")
 
 
 def strip_repeats(docs: DataFrame, length: int = 200, prefix: int = 100, text: str = "text") -> DataFrame:

@@ -98,7 +98,7 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, least_words: int = 12,
     later = spans.join(first, "span").where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("at", "length")).alias("spans"))
     gone = stored(gone.select(F.col("doc_id").alias("gone_id"), F.col("copy").alias("gone_copy"), "spans"), "gone")
-    met = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("copy") == F.col("gone_copy")), "left")
+    met = whole.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("copy") == F.col("gone_copy")), "left")
     return met.select("doc_id", "text", "spans").mapInArrow(
         _rebuild, "doc_id long, n_sentences long, n_removed long, n_spans long, text string"
     )
