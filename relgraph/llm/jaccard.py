@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from relgraph.llm.common import FOLDED, Spans, flat, mix, rows_out, slices, stored, text_bytes, words
 from relgraph.llm.components import components
@@ -67,14 +69,25 @@ class Classes:
         while len(self.bounds) < 3 or self.bounds[-3] <= largest:
             self.bounds.append(self.bounds[-1] * 100 // share + 1)
         self.bounds = np.array(self.bounds, np.int64)
+        both = self.bounds[1:-1] + self.bounds[2:] - 2
+        least = both * (100 - share) // (100 + share) + 1
+        # parts without a shingle say nothing: as many parts more as are likely to be empty
+        self.spare = np.zeros(len(least), np.int64)
+        for _ in range(8):
+            empty = (least + self.spare) * np.exp(-self.bounds[: len(least)] / (least + self.spare))
+            self.spare = np.where(least > 2, np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64), 0)
+        self.count = least + self.spare
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, n, side="right") - 1
 
     def parts(self, k: np.ndarray) -> np.ndarray:
-        """One more than the elements in which two linked sets of class ``k`` and ``k + 1`` can differ."""
-        both = self.bounds[k + 1] + self.bounds[np.minimum(k + 2, len(self.bounds) - 1)] - 2
-        return both * (100 - self.share) // (100 + self.share) + 1
+        """Over the elements in which two linked sets of class ``k`` and ``k + 1`` can differ, by one and by the spare parts.
+
+        So one part is equal, and one with shingles in it if either set has no more
+        than ``spare`` empty ones.
+        """
+        return self.count[np.minimum(k, len(self.count) - 1)]
 
 
 def _entries(width: int, share: int, largest: int, shares: int):
@@ -103,9 +116,13 @@ def _entries(width: int, share: int, largest: int, shares: int):
                     content = np.zeros(int(parts.sum()), np.uint64)
                     np.add.at(content, slot, mix(value[chosen] + np.uint64(77)))
                     owner = np.repeat(np.arange(len(ids)), parts)
+                    filled = np.zeros(len(content), bool)
+                    filled[slot] = True
+                    hollow = np.bincount(owner, ~filled, minlength=len(ids))
+                    said = filled | (hollow > classes.spare[np.clip(group, 0, len(classes.spare) - 1)])[owner]
                     place = np.arange(len(owner)) - base[owner]
                     key = mix(content + mix((group[owner] * 1_000_003).astype(np.uint64) + mix(place.astype(np.uint64))))
-                    found.append((key, ids[owner], n[owner].astype(np.int32), np.full(len(owner), step == 0)))
+                    found.append((key[said], ids[owner][said], n[owner][said].astype(np.int32), np.full(int(said.sum()), step == 0)))
                 key, who, size, own = (np.concatenate(x) for x in zip(*found))
                 part = (key >> np.uint64(40)) % np.uint64(shares)
                 order = np.argsort(part, kind="stable")
@@ -175,7 +192,7 @@ def _verify(width: int, share: int):
 def _signatures(width: int):
     """A bitmap for each set, with its size and what its bits leave uncounted."""
     names = [f"w{k}" for k in range(WORDS)]
-    schema = pa.schema([("doc_id", pa.int64()), ("slack", pa.int32()), *((w, pa.int64()) for w in names)])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("slack", pa.int32()), *((w, pa.int64()) for w in names)])
 
     def run(batches):
         for batch in batches:
@@ -184,11 +201,11 @@ def _signatures(width: int):
                 bit = (mix(value + np.uint64(99)) % np.uint64(64 * WORDS)).astype(np.int64)
                 grid = np.zeros((part.num_rows, 64 * WORDS), np.uint8)
                 grid[row, bit] = 1
-                slack = np.bincount(row, minlength=part.num_rows) - grid.sum(axis=1)
+                n = np.bincount(row, minlength=part.num_rows)
                 packed = np.packbits(grid, axis=1, bitorder="little").view(np.int64)
-                yield rows_out(schema, part.column("doc_id"), slack, *packed.T)
+                yield rows_out(schema, part.column("doc_id"), n, n - grid.sum(axis=1), *packed.T)
 
-    return run, "doc_id long, slack int, " + ", ".join(f"{w} long" for w in names)
+    return run, "doc_id long, n int, slack int, " + ", ".join(f"{w} long" for w in names)
 
 
 def _bound(share: int):
@@ -211,14 +228,14 @@ def _nodes(members: DataFrame, *by: str) -> DataFrame:
 def traverse(members: DataFrame, share: int, fan: int = 16) -> DataFrame:
     """Pairs (``a, b``) of sets of one tree, in different components, that the trees can't rule out.
 
-    ``members``: tree, doc_id, comp, n, slack and bitmap words. In a tree, sets hang
+    ``members``: tree, doc_id, comp, n, lo, hi, slack and bitmap words. In a tree, sets hang
     by band of sizes, then by component and dealt into nodes of about ``fan``.
     Traversal pairs bands, then nodes of open band pairs, then their sets; a pair of
     nodes is closed when sizes or bits leave no room for a link, or when both hold
     one and the same component.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) * 50).cast("int")
-    sets = members.withColumns({"lo": F.col("n"), "hi": F.col("n"), "band": band})
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share)).cast("int")  # linked sets: one band or two next to each other
+    sets = members.withColumn("band", band)
     count = sets.groupBy("tree", "comp", "band").agg(F.ceil(F.count("*") / fan).alias("dealt"))
     sets = stored(sets.join(count, ["tree", "comp", "band"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets")
     nodes = stored(_nodes(sets, "tree", "band", "comp", "node"), "nodes")
@@ -241,7 +258,8 @@ def traverse(members: DataFrame, share: int, fan: int = 16) -> DataFrame:
     ).distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text", part_bytes: int = 12 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text", rounds: int = 2,
+                       part_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
     Sets are the distinct ``width``-word shingles of the text with A-Z lower-cased;
@@ -251,10 +269,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     The roots come from the sets themselves: linked sets of one size class differ in
     at most d shingles, so of d + 1 hashed parts of both sets one is equal; a set
     hangs under a root for each of its parts. Nearly all roots hold one set and go.
-    Under the others, each set is first compared with its root's first one. What
-    this links is one component. Roots that still hold several grow together into
-    trees by the sets that they share; trees are traversed in pairs of nodes under
-    OR-ed bitmaps and size ranges (``traverse``), and what stays open is compared exactly. So a group of thousands of near copies costs a
+    Under the others, each set is first compared with one set of its root, in
+    ``rounds`` with another one each. What this links is one component. Trees that
+    still hold several are traversed in pairs of nodes under OR-ed bitmaps and size
+    ranges (``traverse``), and what stays open is compared exactly. So a group of thousands of near copies costs a
     comparison per copy, and no link between different components is left out.
 
     Null and empty texts have no shingles and stay alone. Null ids are alone too,
@@ -276,27 +294,36 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     members = entries.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
     alias = reps.join(cards.where("doc_id is not null"), key).select("doc_id", "rep").distinct()
     members = stored(members, "members")
-    named = members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id"), "n", "lead")
+    named = members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id"), "lead")
     leads = alias.select(F.col("doc_id").alias("lead"), F.col("rep").alias("lead_rep"))
-    named = stored(named.join(leads, "lead").select("root", "doc_id", "n", F.col("lead_rep").alias("lead")).distinct(), "named")
-    first = stored(named.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct(), "pairs")
-    ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = stored(named.join(leads, "lead").select("root", "doc_id", F.col("lead_rep").alias("lead")).distinct(), "named")
+    ids = named.select("doc_id").distinct()
     texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    links = stored(_compare(first, texts, width, share), "links")
-    groups = stored(components(links), "groups")
-    placed = named.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    mixed = placed.groupBy("root").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 < c2 and k > 2").select("root")
-    placed = stored(placed.join(mixed, "root").select("root", "doc_id", "n", "comp").distinct(), "placed")
-    if not placed.isEmpty():
-        # roots that share sets make one tree, so that no pair is met under each of its roots
-        heads = placed.groupBy("root").agg(F.min("doc_id").alias("a"))
-        grown = components(placed.join(heads, "root").select("a", F.col("doc_id").alias("b")))
-        placed = stored(placed.select("doc_id", "n", "comp").distinct(), "sets")
-        run, schema = _signatures(width)
-        drawn = stored(texts.join(placed.select("doc_id").distinct(), "doc_id").mapInArrow(run, schema), "signatures")
-        hung = placed.join(grown.select(F.col("node").alias("doc_id"), F.col("component").alias("tree")), "doc_id").join(drawn, "doc_id")
-        open_pairs = traverse(hung, share).join(first, ["a", "b"], "left_anti")
-        more = stored(_compare(stored(open_pairs, "open"), texts, width, share), "more")
+    run, schema = _signatures(width)
+    drawn = stored(texts.mapInArrow(run, schema).withColumns({"lo": F.col("n"), "hi": F.col("n")}), "signatures")
+    links = tried = None
+    open_sets = named.select("root", "doc_id", "lead", F.col("doc_id").alias("comp"))
+    for k in range(rounds):
+        # a further round takes another member of each root that still holds several components
+        lead = F.col("lead") if k == 0 else F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).over(Window.partitionBy("root"))
+        met = open_sets.withColumn("lead", lead)
+        if k:
+            met = met.join(open_sets.select("root", F.col("doc_id").alias("lead"), F.col("comp").alias("lead_comp")), ["root", "lead"]).where("comp <> lead_comp")
+        pairs = met.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        fresh = stored(_compare(pairs, drawn, texts, width, share), "links")
+        links = fresh if links is None else links.unionByName(fresh)
+        groups = stored(components(links), "groups")
+        placed = named.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+        mixed = placed.groupBy("root").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 < c2 and k > 2")
+        open_sets = stored(placed.join(mixed.select("root"), "root").select("root", "doc_id", "lead", "comp").distinct(), "open")
+        if fresh.isEmpty():
+            break
+    if not open_sets.isEmpty():
+        hung = open_sets.select(F.col("root").alias("tree"), "doc_id", "comp").join(drawn, "doc_id")
+        open_pairs = traverse(hung, share).join(tried, ["a", "b"], "left_anti")
+        more = stored(_compare(stored(open_pairs, "rest"), drawn, texts, width, share), "more")
         if not more.isEmpty():
             groups = stored(components(links.unionByName(more)), "groups")
     found = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
@@ -305,8 +332,12 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     )
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+def _compare(pairs: DataFrame, drawn: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """The pairs that link: leaves of the trees first, by size and bits, then the sets themselves."""
     run, schema = _verify(width, share)
+    x, y = drawn.alias("x"), drawn.alias("y")
+    near = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_bound(share)).select("a", "b")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    met = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
