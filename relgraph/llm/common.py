@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 from relgraph.session import shared_dir
 
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
+# workers live on between stages; this pool gives what a batch took back at once
+pa.set_memory_pool(pa.system_memory_pool())
 #: White space between words: blank and tab to carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -28,6 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(df: DataFrame) -> DataFrame:
+    """``df`` itself, after a smaller bound on the rows of an Arrow batch: whole texts may be long."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def let(value: Column, body) -> Column:
     """``body`` of ``value``, with the value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)

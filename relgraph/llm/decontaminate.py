@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from relgraph.llm.common import lean
+
 GRAM = 3
 
 
@@ -162,7 +164,7 @@ def match_items(docs: DataFrame, items: DataFrame, rate: float = 0.08, text: str
     carried = list(dict.fromkeys([*keep, text]))
     listed = items.where("item_id is not null and text rlike '[^\\\\s]'").select("item_id", "text").distinct()
     blocks = max(1, -(-(listed.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    out = docs.select(*carried, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"),
+    out = lean(docs).select(*carried, F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("best_item"),
                       F.lit(None).cast("long").alias("best_distance"))
     dealt = listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):

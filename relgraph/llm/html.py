@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import rows_out, stored
+from relgraph.llm.common import lean, rows_out, stored
 from relgraph.llm.urls import url_parts
 
 _TOKEN = re.compile(
@@ -203,7 +203,7 @@ def extract_text(pages: DataFrame, share: float = 0.25) -> DataFrame:
     host, and Spark splits a host with many pages. Null or empty HTML gives an empty
     text; pages without a host have one another's votes; repeated rows are all returned.
     """
-    named = pages.select("page_id", "url", "html", url_parts(F.col("url"))["host"].alias("host"))
+    named = lean(pages).select("page_id", "url", "html", url_parts(F.col("url"))["host"].alias("host"))
     votes = named.select("host", "html").mapInArrow(_votes, "host string, path string").where("path is not null")
     counted = stored(votes.groupBy("host", "path").agg(F.count("*").alias("n")), "votes")
     total = counted.groupBy("host").agg(F.sum("n").alias("of"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relgraph.llm.common import FOLDED, Spans, flat, mix, rows_out, slices, stored, text_bytes, words
+from relgraph.llm.common import FOLDED, flat, lean, mix, rows_out, slices, stored, text_bytes, words, Spans
 from relgraph.llm.components import components
 
 WORDS = 16  # 64-bit words of a bitmap
@@ -280,7 +280,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     rows with different texts bear one id, the smallest text stands for it. Other
     columns of ``docs`` are left out.
     """
-    whole = docs.select("doc_id", F.col(text).alias("text"))
+    whole = lean(docs).select("doc_id", F.col(text).alias("text"))
     cards = stored(whole.mapInArrow(_set_rows(width), "doc_id long, n_shingles long, set_a long, set_b long"), "cards")
     key = ["n_shingles", "set_a", "set_b"]
     reps = stored(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import rows_out, text_bytes
+from relgraph.llm.common import lean, rows_out, text_bytes
 from relgraph.llm.tokens import DEFAULT, encode
 
 K1, B = 1.2, 0.75
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, path: str = DEFAULT, end_id: int = 1, window: int = 20
     ids are documents as any other. An empty table gives no rows; other columns of
     ``docs`` are left out.
     """
-    shards = max(1, -(-text_bytes(docs, text) // shard_bytes))
+    shards = max(1, -(-text_bytes(lean(docs), text) // shard_bytes))
     shard = F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).alias("shard")
     dealt = docs.select("doc_id", F.col(text).alias("text"), shard)
     return dealt.groupBy("shard").applyInArrow(

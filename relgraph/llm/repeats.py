@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import BYTE, Spans, flat, mix, rows_out, slices, stored, text_bytes
+from relgraph.llm.common import BYTE, flat, lean, mix, rows_out, slices, stored, text_bytes, Spans
 
 _SECOND = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: An entry: a sampled position, and the starts of strings it stands for, as distances before it.
@@ -247,7 +247,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, prefix: int = 100, text:
     Names travel packed by the part that sorts them; equal ones of one piece of text
     are combined before, so a passage in a third of all documents is one entry a piece.
     """
-    whole = docs.select("doc_id", F.xxhash64(text).alias("copy"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
+    whole = lean(docs).select("doc_id", F.xxhash64(text).alias("copy"), F.col(text).alias("text")).where(F.octet_length("text") >= length)
     total = text_bytes(whole)
     widths = [length - prefix + 1, 12, 1]
     found, work = None, whole

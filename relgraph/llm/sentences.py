@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relgraph.llm.common import rows_out, stored
+from relgraph.llm.common import lean, rows_out, stored
 
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 _SPAN = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int32()), ("length", pa.int32()), ("span", pa.binary())])
@@ -89,7 +89,7 @@ def drop_repeated_spans(docs: DataFrame, least: int = 2, least_words: int = 12,
     order of their hashes; equal rows of one id are one and the same document. Null
     ids come first. Other columns of ``docs`` are left out; an empty table gives no rows.
     """
-    whole = docs.select("doc_id", F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
+    whole = lean(docs).select("doc_id", F.xxhash64(text).alias("copy"), F.col(text).alias("text"))
     spans = whole.mapInArrow(_spans(least, least_words), "doc_id long, copy long, at int, length int, span binary")
     spans = stored(spans, "spans")
     place = F.struct("doc_id", "copy", "at")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from relgraph.llm.common import rows_out, slices, stored, text_bytes
+from relgraph.llm.common import lean, rows_out, slices, stored, text_bytes
 from relgraph.llm.tokens import DEFAULT, encode
 
 BLOCK = 512  # bits between two entries of a rank directory
@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, out: str, path: str = DEFAULT, end_id: int = 0
     rows that repeat an id lie next to each other in the order of their texts; an empty
     table gives an empty folder of files. Other columns are left out.
     """
-    ranges = max(1, -(-text_bytes(docs, text) // part_bytes))
+    ranges = max(1, -(-text_bytes(lean(docs), text) // part_bytes))
     ordered = docs.select("doc_id", F.col(text).alias("text")).repartitionByRange(ranges, F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").select(
         F.spark_partition_id().alias("part"), "doc_id", "text"

@@ -13,7 +13,7 @@ DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
 _loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
-_CACHED = 1_000_000  # words whose ids a worker keeps
+_CACHED = 250_000  # words whose ids a worker keeps
 
 
 def encode(texts: list[str | None], path: str = DEFAULT) -> list[np.ndarray]:
@@ -27,13 +27,16 @@ def encode(texts: list[str | None], path: str = DEFAULT) -> list[np.ndarray]:
     tokenizer, known = _loaded[path]
     if len(known) > _CACHED:
         known.clear()
-    cut = []
-    for text in texts:
-        parts = (_CUT.split(text) if _TWO.search(text) else text.split(" ")) if text else [""]
-        cut.append([parts[0], *(" " + p for p in parts[1:])])
-    new = list({w for words in cut for w in words if w not in known})
+    cut = [(_CUT.split(text) if _TWO.search(text) else text.split(" ")) if text else [""] for text in texts]
+    _learn(tokenizer, known, set().union(*(words[1:] for words in cut)))
+    heads = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([words[0] for words in cut], add_special_tokens=False)]
+    return [np.frombuffer(head + b"".join([known[w] for w in words[1:]]), "<u4") for head, words in zip(heads, cut)]
+
+
+def _learn(tokenizer: Tokenizer, known: dict[str, bytes], words: set[str]) -> None:
+    """Ids of words with the blank before them."""
+    new = list(words.difference(known))
     for at in range(0, len(new), 20_000):
         some = new[at: at + 20_000]
-        for word, found in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)):
+        for word, found in zip(some, tokenizer.encode_batch([" " + w for w in some], add_special_tokens=False)):
             known[word] = np.array(found.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in cut]
