@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+# Spark gives each task one core
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: A blank between two visible characters: the byte-level pre-tokenizer always starts a piece there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
 _loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
-_CACHED = 250_000  # words whose ids a worker keeps
+_CACHED = 500_000  # words whose ids a worker keeps
 
 
 def encode(texts: list[str | None], path: str = DEFAULT) -> list[np.ndarray]:
@@ -28,15 +35,27 @@ def encode(texts: list[str | None], path: str = DEFAULT) -> list[np.ndarray]:
     if len(known) > _CACHED:
         known.clear()
     cut = [(_CUT.split(text) if _TWO.search(text) else text.split(" ")) if text else [""] for text in texts]
-    _learn(tokenizer, known, set().union(*(words[1:] for words in cut)))
-    heads = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch([words[0] for words in cut], add_special_tokens=False)]
-    return [np.frombuffer(head + b"".join([known[w] for w in words[1:]]), "<u4") for head, words in zip(heads, cut)]
+    _learn(tokenizer, known, set().union(*(words[1:] for words in cut)).difference(known))
+    heads = [_bytes(e.ids) for e in tokenizer.encode_batch([words[0] for words in cut], add_special_tokens=False)]
+    return [np.frombuffer(head + b"".join(map(known.__getitem__, words[1:])), "<u4") for head, words in zip(heads, cut)]
+
+
+def _bytes(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def _learn(tokenizer: Tokenizer, known: dict[str, bytes], words: set[str]) -> None:
-    """Ids of words with the blank before them."""
-    new = list(words.difference(known))
+    """Ids of words with the blank before them.
+
+    Letters and what follows them are pieces of their own, so a word that ends in a
+    letter and a comma or full stop is that word and that mark.
+    """
+    marked = {w: w[:-1] for w in words if w[-1:] in (",", ".") and w[-2:-1].isalpha()}
+    new = list(words.difference(marked) | set(marked.values()).difference(known))
     for at in range(0, len(new), 20_000):
         some = new[at: at + 20_000]
         for word, found in zip(some, tokenizer.encode_batch([" " + w for w in some], add_special_tokens=False)):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+            known[word] = _bytes(found.ids)
+    marks = {m: _bytes(tokenizer.encode(m, add_special_tokens=False).ids) for m in ",."}
+    for word, base in marked.items():
+        known[word] = known[base] + marks[word[-1]]
