@@ -258,6 +258,22 @@ def traverse(members: DataFrame, share: int, fan: int = 16) -> DataFrame:
     ).distinct()
 
 
+def _trees(sets: DataFrame) -> DataFrame:
+    """Sets (``root, doc_id, comp``) by the tree that they hang in.
+
+    Roots that share sets are one tree where that takes fewer comparisons than the
+    same sets under each of the roots, else each root is a tree of its own.
+    """
+    heads = sets.groupBy("root").agg(F.min("doc_id").alias("a"), F.count("*").alias("k"))
+    grown = components(sets.join(heads, "root").select("a", F.col("doc_id").alias("b")))
+    grown = stored(grown.select(F.col("node").alias("doc_id"), F.col("component").alias("grove")), "groves")
+    apart = heads.join(grown, F.col("a") == F.col("doc_id")).groupBy("grove").agg(F.sum(F.col("k") * F.col("k")).alias("apart"))
+    whole = grown.groupBy("grove").agg((F.count("*") * F.count("*")).alias("whole"))
+    chosen = stored(apart.join(whole, "grove").select("grove", (F.col("whole") <= F.col("apart")).alias("one")), "chosen")
+    tree = F.when(F.col("one"), F.xxhash64("grove")).otherwise(F.col("root")).alias("tree")
+    return sets.join(grown, "doc_id").join(chosen, "grove").select(tree, "doc_id", "comp").distinct()
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text", rounds: int = 2,
                        part_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
@@ -321,7 +337,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
         if fresh.isEmpty():
             break
     if not open_sets.isEmpty():
-        hung = open_sets.select(F.col("root").alias("tree"), "doc_id", "comp").join(drawn, "doc_id")
+        hung = _trees(open_sets.select("root", "doc_id", "comp").distinct()).join(drawn, "doc_id")
         open_pairs = traverse(hung, share).join(tried, ["a", "b"], "left_anti")
         more = stored(_compare(stored(open_pairs, "rest"), drawn, texts, width, share), "more")
         if not more.isEmpty():
