@@ -334,8 +334,8 @@ def remove_solution(tables: dict[str, DataFrame], solution: str) -> dict[str, Da
         "edges": edges,
         "nodes": tables["nodes"].join(gone, "project_id", "left_anti"),
         "files": tables["files"].join(gone, "project_id", "left_anti"),
-        "jobs": tables["jobs"].where(F.col("solution_id") != solution),
-        "projects": tables["projects"].where(F.col("solution_id") != solution),
+        "jobs": tables["jobs"].where(~F.col("solution_id").eqNullSafe(F.lit(solution))),
+        "projects": tables["projects"].where(~F.col("solution_id").eqNullSafe(F.lit(solution))),
     }
 
 

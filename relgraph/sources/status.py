@@ -35,7 +35,7 @@ def decode_status(outputs: DataFrame, keys: list[str]) -> DataFrame:
     """
     records = _records(outputs, keys, lambda f: F.substring(f, 1, 2).rlike("[RC]"))
     index, worktree = F.substring("field", 1, 1), F.substring("field", 2, 1)
-    path = F.regexp_replace(F.substring("field", 3, 1 << 20), "^ ", "")
+    path = F.regexp_replace(F.col("field").substr(F.lit(3), F.length("field")), "^ ", "")
     read = records.select(*keys, "at", index.alias("x"), worktree.alias("y"), path.alias("path"), "origin", "looks")
     broken = (F.col("path") == "") | (F.col("looks") & F.col("origin").isNull())
     untracked = (F.col("x") == "?") | (F.col("y") == "?")
