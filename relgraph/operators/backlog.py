@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relgraph.operators.ordered import lag_in_order, last_in_order, number_chunks
+from relgraph.operators.ordered import lag_in_order, last_in_order, number_chunks, running_sum
 
 # ---- fixed values -------------------------------------------------------------
 BASE_PRIORITY = {
@@ -156,25 +156,30 @@ def high_water(hints: DataFrame, limit: int = HIGH_WATER_PATHS, salts: int = 64)
     )
 
 
-def dirty_generations(marks: DataFrame, acks: DataFrame) -> dict[str, DataFrame]:
+def dirty_generations(marks: DataFrame, acks: DataFrame, chunk_width: int = 65_536) -> dict[str, DataFrame]:
     """Desired and indexed generation per project, and the verdict on each acknowledgement.
 
-    ``marks(project_id, seq)`` raise the desired generation by one each; ``acks(project_id,
-    generation)`` are judged against the final one.
+    ``marks(project_id, seq)`` raise the desired generation by one each. ``acks(project_id,
+    seq, generation)`` are judged against the generation desired at their place; a mark
+    with the same ``seq`` comes before.
     """
     desired = marks.groupBy("project_id").agg(F.count(F.lit(1)).alias("desired"))
+    events = marks.select("project_id", "seq", F.lit(1).alias("mark"), F.lit(None).cast("long").alias("generation")).unionByName(
+        acks.select("project_id", "seq", F.lit(0).alias("mark"), F.col("generation").cast("long").alias("generation"))
+    ).withColumn("turn", 1 - F.col("mark"))
+    counted = running_sum(events, ["project_id"], ["seq", "turn"], number_chunks("seq", chunk_width), "mark", "desired")
     verdict = (
-        F.when((F.col("generation") == 0) | (F.col("generation") > F.col("desired")) | F.col("desired").isNull(), "invalid")
+        F.when((F.col("generation") == 0) | (F.col("generation") > F.col("desired")), "invalid")
         .when(F.col("generation") == F.col("desired"), "applied")
         .otherwise("superseded")
     )
-    judged = acks.join(desired, "project_id", "left").withColumn("verdict", verdict)
+    judged = counted.where("mark = 0").withColumn("verdict", verdict)
     indexed = judged.where("verdict = 'applied'").groupBy("project_id").agg(F.max("generation").alias("indexed"))
     state = desired.join(indexed, "project_id", "left").select(
         "project_id", "desired", F.coalesce("indexed", F.lit(0)).alias("indexed"),
         (F.col("desired") > F.coalesce("indexed", F.lit(0))).alias("dirty"),
     )
-    return {"state": state, "acks": judged.select("project_id", "generation", "desired", "verdict")}
+    return {"state": state, "acks": judged.select("project_id", "seq", "generation", "desired", "verdict")}
 
 
 FULL_SCAN_REASONS = {"overflow": "backend_overflow", "disconnected": "backend_reconnect",

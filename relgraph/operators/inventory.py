@@ -247,17 +247,26 @@ def cleared_edges(removed: DataFrame, dependencies: DataFrame, current: DataFram
 
 
 def invalidate_incoming(edges: DataFrame, removed_nodes: DataFrame) -> DataFrame:
-    """Edges of other files that point at removed nodes become unresolved, by the old qualified name."""
+    """Edges of other files that point at removed nodes become unresolved, by the old qualified name.
+
+    A file is a path of a project: ``edges(project_id, owner_file, target_project_id, target_id, ..)``
+    and ``removed_nodes(project_id, id, owner_file, qualified_name)``.
+    """
     gone = removed_nodes.select(
-        F.col("id").alias("target_id"), F.col("qualified_name").alias("_name"), F.col("owner_file").alias("_owner")
+        F.col("project_id").alias("target_project_id"), F.col("id").alias("target_id"),
+        F.col("qualified_name").alias("_name"), F.col("project_id").alias("_project"), F.col("owner_file").alias("_owner"),
     )
-    hit = F.col("_name").isNotNull() & ~F.col("owner_file").eqNullSafe(F.col("_owner"))
+    same_file = F.col("project_id").eqNullSafe(F.col("_project")) & F.col("owner_file").eqNullSafe(F.col("_owner"))
+    hit = F.col("_name").isNotNull() & ~same_file
+    # edges without a target join nothing and would all meet in one partition
+    unaimed = edges.where("target_id is null or target_project_id is null")
     return (
-        edges.join(gone, "target_id", "left")
+        edges.where("target_id is not null and target_project_id is not null").join(gone, ["target_project_id", "target_id"], "left")
         .withColumn("unresolved_target", F.when(hit, F.col("_name")).otherwise(F.col("unresolved_target")))
         .withColumn("resolution", F.when(hit, "unresolved").otherwise(F.col("resolution")))
         .withColumn("target_id", F.when(hit, F.lit(None)).otherwise(F.col("target_id")))
         .select(*edges.columns)
+        .unionByName(unaimed)
     )
 
 
@@ -266,18 +275,20 @@ def replace_facts(
 ) -> dict[str, DataFrame]:
     """Replace the facts of the analysed files and acknowledge their generation.
 
-    ``done`` is ``(owner_file, generation, hash)``. All deletions of the batch happen
+    ``done`` is ``(project_id, owner_file, generation, hash)``; nodes, edges and files carry
+    their ``project_id`` too. All deletions of the batch happen
     before its insertions; an acknowledgement that is not for the desired generation
     leaves the file dirty.
     """
-    owners = done.select("owner_file").distinct()
-    removed = nodes.join(owners, "owner_file", "left_semi")
-    kept_nodes = nodes.join(owners, "owner_file", "left_anti")
-    kept_edges = invalidate_incoming(edges.join(owners, "owner_file", "left_anti"), removed)
-    ack = done.select(F.col("owner_file").alias("path"), F.col("generation").alias("_g"), F.col("hash").alias("_h"))
+    file = ["project_id", "owner_file"]
+    owners = done.select(*file).distinct()
+    removed = nodes.join(owners, file, "left_semi")
+    kept_nodes = nodes.join(owners, file, "left_anti")
+    kept_edges = invalidate_incoming(edges.join(owners, file, "left_anti"), removed)
+    ack = done.select("project_id", F.col("owner_file").alias("path"), F.col("generation").alias("_g"), F.col("hash").alias("_h"))
     hit = F.col("_g") == F.col("desired_generation")
     state = (
-        files.join(ack, "path", "left")
+        files.join(ack, ["project_id", "path"], "left")
         .withColumn("indexed_generation", F.when(hit, F.col("_g")).otherwise(F.col("indexed_generation")))
         .withColumn("indexed_hash", F.when(hit, F.col("_h")).otherwise(F.col("indexed_hash")))
         .select(*files.columns)
@@ -290,16 +301,17 @@ def replace_facts(
 
 
 def audit_facts(nodes: DataFrame, edges: DataFrame, max_nodes: int = 20_000, max_edges: int = 100_000) -> DataFrame:
-    """``(owner_file, rule, subject)`` rows for every rule a file's fact set breaks."""
+    """``(project_id, owner_file, rule, subject)`` rows for every rule a file's fact set breaks."""
+    file = ["project_id", "owner_file"]
 
     def rows(df: DataFrame, rule: str, subject) -> DataFrame:
-        return df.select("owner_file", F.lit(rule).alias("rule"), subject.alias("subject"))
+        return df.select(*file, F.lit(rule).alias("rule"), subject.alias("subject"))
 
     empty = lambda *cs: F.exists(F.array(*cs), lambda v: F.coalesce(v, F.lit("")) == "")
-    repeated = lambda df: df.groupBy("owner_file", "id").count().where("count > 1")
-    crowded = lambda df, cap: df.groupBy("owner_file").count().where(F.col("count") > cap)
+    repeated = lambda df: df.groupBy(*file, "id").count().where("count > 1")
+    crowded = lambda df, cap: df.groupBy(*file).count().where(F.col("count") > cap)
     shape = F.col("unresolved_target").isNotNull() != (F.col("resolution") == "unresolved")
-    owned = nodes.select("owner_file", F.col("id").alias("source_id")).distinct()
+    owned = nodes.select(*file, F.col("id").alias("source_id")).distinct()
     found = [
         rows(crowded(nodes, max_nodes), "too-many-nodes", F.col("count").cast("string")),
         rows(crowded(edges, max_edges), "too-many-edges", F.col("count").cast("string")),
@@ -307,7 +319,7 @@ def audit_facts(nodes: DataFrame, edges: DataFrame, max_nodes: int = 20_000, max
         rows(repeated(nodes), "duplicate-node", F.col("id")),
         rows(edges.where(empty("id", "kind")), "incomplete-edge", F.col("id")),
         rows(repeated(edges), "duplicate-edge", F.col("id")),
-        rows(edges.join(owned, ["owner_file", "source_id"], "left_anti"), "orphan-edge-source", F.col("id")),
+        rows(edges.join(owned, [*file, "source_id"], "left_anti"), "orphan-edge-source", F.col("id")),
         rows(edges.where(shape), "resolution-target-mismatch", F.col("id")),
     ]
     out = found[0]

@@ -151,60 +151,74 @@ def _(read):
     return inventory.cleared_edges(removed, read("file_deps"), after)
 
 
+# two projects with the same paths and ids; some edges of the second point into the first
+relation("twin_nodes", """
+SELECT 'a' AS project_id, id, owner_file, kind, qualified_name, start_line FROM @nodes
+UNION ALL SELECT 'b', id, owner_file, kind, qualified_name, start_line FROM @nodes""")
+relation("twin_edges", """
+SELECT 'a' AS project_id, id, owner_file, source_id, kind, CASE WHEN target_id IS NULL THEN NULL ELSE 'a' END AS target_project_id, target_id, unresolved_target, resolution, line FROM @edges
+UNION ALL SELECT 'b', id, owner_file, source_id, kind, CASE WHEN target_id IS NULL THEN NULL WHEN line % 3 = 0 THEN 'a' ELSE 'b' END, target_id, unresolved_target, resolution, line FROM @edges""")
+
+
 @query("j17_invalidate_incoming", """
-WITH gone AS (SELECT id, qualified_name, owner_file FROM @nodes WHERE owner_file LIKE 'catalog/%1.ts' OR owner_file LIKE 'crm/orders/%3.ts')
-SELECT e.id, CASE WHEN g.id IS NULL OR g.owner_file = e.owner_file THEN e.target_id END AS target_id,
-  CASE WHEN g.id IS NULL OR g.owner_file = e.owner_file THEN e.unresolved_target ELSE g.qualified_name END AS unresolved_target,
-  CASE WHEN g.id IS NULL OR g.owner_file = e.owner_file THEN e.resolution ELSE 'unresolved' END AS resolution
-FROM @edges e LEFT JOIN gone g ON e.target_id = g.id""")
+WITH gone AS (SELECT project_id, id, qualified_name, owner_file FROM @twin_nodes WHERE project_id = 'a' AND (owner_file LIKE 'catalog/%1.ts' OR owner_file LIKE 'crm/orders/%3.ts')),
+j AS (SELECT e.*, g.qualified_name, g.id IS NOT NULL AND (g.project_id <> e.project_id OR g.owner_file <> e.owner_file) AS hit FROM @twin_edges e LEFT JOIN gone g ON e.target_project_id = g.project_id AND e.target_id = g.id)
+SELECT project_id, id, CASE WHEN NOT hit THEN target_id END AS target_id, CASE WHEN hit THEN qualified_name ELSE unresolved_target END AS unresolved_target,
+  CASE WHEN hit THEN 'unresolved' ELSE resolution END AS resolution FROM j""")
 def _(read):
     owner = F.col("owner_file")
-    gone = read("nodes").where(owner.like("catalog/%1.ts") | owner.like("crm/orders/%3.ts"))
-    return inventory.invalidate_incoming(read("edges"), gone).select("id", "target_id", "unresolved_target", "resolution")
+    gone = read("twin_nodes").where((owner.like("catalog/%1.ts") | owner.like("crm/orders/%3.ts")) & (F.col("project_id") == "a"))
+    return inventory.invalidate_incoming(read("twin_edges"), gone).select("project_id", "id", "target_id", "unresolved_target", "resolution")
 
 
 relation("done_files", """
-SELECT DISTINCT owner_file, cast(CASE WHEN owner_file LIKE '%1.ts' THEN 2 ELSE 1 END AS bigint) AS generation, sha2(owner_file, 256) AS hash
+SELECT DISTINCT 'a' AS project_id, owner_file, cast(CASE WHEN owner_file LIKE '%1.ts' THEN 2 ELSE 1 END AS bigint) AS generation, sha2(owner_file, 256) AS hash
 FROM @nodes WHERE owner_file LIKE 'catalog/%' OR owner_file LIKE 'crm/orders/%3.ts'""")
-relation("graph_files", """SELECT DISTINCT owner_file AS path, 'p' AS project_id, cast(2 AS bigint) AS desired_generation, cast(1 AS bigint) AS indexed_generation, cast(NULL AS string) AS indexed_hash FROM @nodes""")
+relation("graph_files", """SELECT DISTINCT project_id, owner_file AS path, cast(2 AS bigint) AS desired_generation, cast(1 AS bigint) AS indexed_generation, cast(NULL AS string) AS indexed_hash FROM @twin_nodes""")
 
 
 @query("m11_replace_facts", """
-WITH gone AS (SELECT n.id, n.qualified_name FROM @nodes n JOIN @done_files d ON n.owner_file = d.owner_file),
-kept AS (SELECT e.* FROM @edges e WHERE e.owner_file NOT IN (SELECT owner_file FROM @done_files))
-SELECT id, 'node' AS part, owner_file || '/' || qualified_name AS detail FROM @nodes n WHERE owner_file NOT IN (SELECT owner_file FROM @done_files)
-UNION ALL SELECT id || '/v2', 'node', owner_file || '/' || qualified_name FROM @nodes WHERE owner_file IN (SELECT owner_file FROM @done_files) AND start_line % 2 = 0
-UNION ALL SELECT k.id, 'edge', CASE WHEN g.id IS NOT NULL THEN 'unresolved>' || g.qualified_name ELSE k.resolution || '>' || coalesce(k.target_id, k.unresolved_target) END FROM kept k LEFT JOIN gone g ON k.target_id = g.id
-UNION ALL SELECT path, 'file', cast(CASE WHEN d.generation = 2 THEN 2 ELSE 1 END AS varchar) || coalesce(CASE WHEN d.generation = 2 THEN d.hash END, '') FROM @graph_files f LEFT JOIN @done_files d ON f.path = d.owner_file""")
+WITH n AS (SELECT n.*, d.generation IS NOT NULL AS done FROM @twin_nodes n LEFT JOIN @done_files d ON n.project_id = d.project_id AND n.owner_file = d.owner_file),
+e AS (SELECT e.*, d.generation IS NOT NULL AS done FROM @twin_edges e LEFT JOIN @done_files d ON e.project_id = d.project_id AND e.owner_file = d.owner_file),
+k AS (SELECT e.*, g.qualified_name FROM e LEFT JOIN n g ON g.done AND e.target_project_id = g.project_id AND e.target_id = g.id WHERE NOT e.done)
+SELECT project_id, id, 'node' AS part, owner_file || '/' || qualified_name AS detail FROM n WHERE NOT done
+UNION ALL SELECT project_id, id || '/v2', 'node', owner_file || '/' || qualified_name FROM n WHERE done AND start_line % 2 = 0
+UNION ALL SELECT project_id, id, 'edge', CASE WHEN qualified_name IS NOT NULL THEN 'unresolved>' || qualified_name ELSE resolution || '>' || coalesce(target_id, unresolved_target) END FROM k
+UNION ALL SELECT project_id, id || '/v2', 'edge', resolution || '>' || coalesce(target_id, unresolved_target) FROM e WHERE done AND line % 2 = 0
+UNION ALL SELECT f.project_id, path, 'file', cast(CASE WHEN d.generation = 2 THEN 2 ELSE 1 END AS varchar) || coalesce(CASE WHEN d.generation = 2 THEN d.hash END, '')
+  FROM @graph_files f LEFT JOIN @done_files d ON f.project_id = d.project_id AND f.path = d.owner_file""")
 def _(read):
-    nodes, edges, done = read("nodes"), read("edges"), read("done_files")
-    fresh = nodes.join(done.select("owner_file"), "owner_file", "left_semi").where(F.col("start_line") % 2 == 0)
-    fresh = fresh.withColumn("id", F.concat("id", F.lit("/v2")))
-    out = inventory.replace_facts(nodes, edges, read("graph_files"), done, fresh, edges.limit(0))
+    nodes, edges, done = read("twin_nodes"), read("twin_edges"), read("done_files")
+    owners = done.select("project_id", "owner_file")
+    renewed = F.concat("id", F.lit("/v2"))
+    fresh = nodes.join(owners, ["project_id", "owner_file"], "left_semi").where(F.col("start_line") % 2 == 0).withColumn("id", renewed)
+    drawn = edges.join(owners, ["project_id", "owner_file"], "left_semi").where(F.col("line") % 2 == 0).withColumn("id", renewed)
+    out = inventory.replace_facts(nodes, edges, read("graph_files"), done, fresh, drawn)
+    target = F.coalesce("target_id", "unresolved_target")
     return snapshots.union_shards([
-        out["nodes"].select("id", F.lit("node").alias("part"), F.concat("owner_file", F.lit("/"), "qualified_name").alias("detail")),
-        out["edges"].select("id", F.lit("edge").alias("part"), F.concat("resolution", F.lit(">"), F.coalesce("target_id", "unresolved_target")).alias("detail")),
-        out["files"].select(F.col("path").alias("id"), F.lit("file").alias("part"), F.concat(F.col("indexed_generation").cast("string"), F.coalesce("indexed_hash", F.lit(""))).alias("detail")),
+        out["nodes"].select("project_id", "id", F.lit("node").alias("part"), F.concat("owner_file", F.lit("/"), "qualified_name").alias("detail")),
+        out["edges"].select("project_id", "id", F.lit("edge").alias("part"), F.concat("resolution", F.lit(">"), target).alias("detail")),
+        out["files"].select("project_id", F.col("path").alias("id"), F.lit("file").alias("part"), F.concat(F.col("indexed_generation").cast("string"), F.coalesce("indexed_hash", F.lit(""))).alias("detail")),
     ])
 
 
 relation("dirty_facts", """
-SELECT id, owner_file, kind, CASE WHEN start_line % 97 = 0 THEN '' ELSE qualified_name END AS qualified_name FROM @nodes
-UNION ALL SELECT id, owner_file, kind, qualified_name FROM @nodes WHERE start_line % 89 = 0""")
+SELECT project_id, id, owner_file, kind, CASE WHEN start_line % 97 = 0 THEN '' ELSE qualified_name END AS qualified_name FROM @twin_nodes WHERE project_id = 'a' OR start_line % 71 <> 0
+UNION ALL SELECT project_id, id, owner_file, kind, qualified_name FROM @twin_nodes WHERE start_line % 89 = 0 AND project_id = 'a'""")
 relation("dirty_edges", """
-SELECT id, owner_file, source_id, kind, target_id, unresolved_target, CASE WHEN line % 83 = 0 THEN 'unresolved' ELSE resolution END AS resolution FROM @edges
-UNION ALL SELECT id, owner_file, source_id, '', target_id, unresolved_target, resolution FROM @edges WHERE line % 79 = 0""")
+SELECT project_id, id, owner_file, source_id, kind, target_id, unresolved_target, CASE WHEN line % 83 = 0 THEN 'unresolved' ELSE resolution END AS resolution FROM @twin_edges
+UNION ALL SELECT project_id, id, owner_file, source_id, '', target_id, unresolved_target, resolution FROM @twin_edges WHERE line % 79 = 0 AND project_id = 'b'""")
 
 
 @query("p12_audit_facts", """
-SELECT owner_file, 'too-many-nodes' AS rule, cast(count(*) AS varchar) AS subject FROM @dirty_facts GROUP BY owner_file HAVING count(*) > 80
-UNION ALL SELECT owner_file, 'too-many-edges', cast(count(*) AS varchar) FROM @dirty_edges GROUP BY owner_file HAVING count(*) > 200
-UNION ALL SELECT owner_file, 'incomplete-node', id FROM @dirty_facts WHERE qualified_name = ''
-UNION ALL SELECT owner_file, 'duplicate-node', id FROM @dirty_facts GROUP BY owner_file, id HAVING count(*) > 1
-UNION ALL SELECT owner_file, 'incomplete-edge', id FROM @dirty_edges WHERE kind = ''
-UNION ALL SELECT owner_file, 'duplicate-edge', id FROM @dirty_edges GROUP BY owner_file, id HAVING count(*) > 1
-UNION ALL SELECT owner_file, 'orphan-edge-source', id FROM @dirty_edges e WHERE NOT EXISTS (SELECT 1 FROM @dirty_facts n WHERE n.owner_file = e.owner_file AND n.id = e.source_id)
-UNION ALL SELECT owner_file, 'resolution-target-mismatch', id FROM @dirty_edges WHERE (unresolved_target IS NOT NULL) <> (resolution = 'unresolved')""")
+SELECT project_id, owner_file, 'too-many-nodes' AS rule, cast(count(*) AS varchar) AS subject FROM @dirty_facts GROUP BY project_id, owner_file HAVING count(*) > 80
+UNION ALL SELECT project_id, owner_file, 'too-many-edges', cast(count(*) AS varchar) FROM @dirty_edges GROUP BY project_id, owner_file HAVING count(*) > 200
+UNION ALL SELECT project_id, owner_file, 'incomplete-node', id FROM @dirty_facts WHERE qualified_name = ''
+UNION ALL SELECT project_id, owner_file, 'duplicate-node', id FROM @dirty_facts GROUP BY project_id, owner_file, id HAVING count(*) > 1
+UNION ALL SELECT project_id, owner_file, 'incomplete-edge', id FROM @dirty_edges WHERE kind = ''
+UNION ALL SELECT project_id, owner_file, 'duplicate-edge', id FROM @dirty_edges GROUP BY project_id, owner_file, id HAVING count(*) > 1
+UNION ALL SELECT project_id, owner_file, 'orphan-edge-source', id FROM @dirty_edges e WHERE NOT EXISTS (SELECT 1 FROM @dirty_facts n WHERE n.project_id = e.project_id AND n.owner_file = e.owner_file AND n.id = e.source_id)
+UNION ALL SELECT project_id, owner_file, 'resolution-target-mismatch', id FROM @dirty_edges WHERE (unresolved_target IS NOT NULL) <> (resolution = 'unresolved')""")
 def _(read):
     return inventory.audit_facts(read("dirty_facts"), read("dirty_edges"), max_nodes=80, max_edges=200)
 

@@ -76,22 +76,25 @@ def _(read):
     return backlog.high_water(read("hints"), 100)
 
 
-relation("acks", """SELECT 'p' || cast(user_id % 8 AS string) AS project_id, CASE WHEN event_id % 50 = 0 THEN 0 WHEN event_id % 3 = 0 THEN event_id ELSE event_id % 2000 END AS generation FROM $events WHERE event_id % 10 = 0
-UNION ALL SELECT 'p' || cast(user_id % 8 AS string), count(*) FROM $events WHERE user_id % 8 < 5 GROUP BY user_id % 8""")
+# one acknowledgement per event, one of the right generation half-way, and one at the end
+relation("acks", """SELECT 'p' || cast(user_id % 8 AS string) AS project_id, event_id AS seq, CASE WHEN event_id % 50 = 0 THEN 0 WHEN event_id % 3 = 0 THEN event_id ELSE event_id % 2000 END AS generation FROM $events
+UNION ALL SELECT h.project_id, m.seq, count(*) FROM @hints h JOIN (SELECT project_id, cast(floor(avg(seq)) AS bigint) AS seq FROM @hints GROUP BY 1) m ON h.project_id = m.project_id WHERE h.seq <= m.seq GROUP BY h.project_id, m.seq
+UNION ALL SELECT project_id, max(seq) + 1, count(*) FROM @hints WHERE project_id <> 'p6' GROUP BY project_id""")
 
+IN_ORDER = """WITH m AS (SELECT project_id, seq, 0 AS turn, cast(NULL AS bigint) AS generation FROM @hints UNION ALL SELECT project_id, seq, 1, generation FROM @acks),
+c AS (SELECT *, count(*) FILTER (turn = 0) OVER (PARTITION BY project_id ORDER BY seq, turn RANGE UNBOUNDED PRECEDING) AS desired FROM m),
+v AS (SELECT project_id, seq, generation, desired, CASE WHEN generation = 0 OR generation > desired THEN 'invalid' WHEN generation = desired THEN 'applied' ELSE 'superseded' END AS verdict FROM c WHERE turn = 1)"""
 
-@query("m3_generation_acks", """
-WITH d AS (SELECT project_id, count(*) AS desired FROM @hints GROUP BY 1)
-SELECT a.project_id, generation, desired, CASE WHEN generation = 0 OR generation > desired THEN 'invalid' WHEN generation = desired THEN 'applied' ELSE 'superseded' END AS verdict FROM @acks a JOIN d USING (project_id)""")
+
+@query("m3_generation_acks", f"{IN_ORDER} SELECT * FROM v")
 def _(read):
-    return backlog.dirty_generations(read("hints"), read("acks"))["acks"]
+    return backlog.dirty_generations(read("hints"), read("acks"), chunk_width=500)["acks"]
 
 
-@query("m3_dirty_state", """
-WITH d AS (SELECT project_id, count(*) AS desired FROM @hints GROUP BY 1), i AS (SELECT a.project_id, max(generation) AS g FROM @acks a JOIN d USING (project_id) WHERE generation = desired GROUP BY 1)
+@query("m3_dirty_state", f"""{IN_ORDER}, d AS (SELECT project_id, count(*) AS desired FROM @hints GROUP BY 1), i AS (SELECT project_id, max(generation) AS g FROM v WHERE verdict = 'applied' GROUP BY 1)
 SELECT project_id, desired, coalesce(g, 0) AS indexed, desired > coalesce(g, 0) AS dirty FROM d LEFT JOIN i USING (project_id)""")
 def _(read):
-    return backlog.dirty_generations(read("hints"), read("acks"))["state"]
+    return backlog.dirty_generations(read("hints"), read("acks"), chunk_width=500)["state"]
 
 
 relation("backend_events", """

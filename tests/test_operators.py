@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relgraph.operators import graph, inventory, ordered, publish, reconcile, resolve, snapshots
+from relgraph.operators import backlog, graph, inventory, ordered, publish, reconcile, resolve, snapshots
 from tests.helpers import rows
 
 NODE = "id string, project_id string, kind string, name string, qualified_name string, language string, file string, start_line long, end_line long"
@@ -118,17 +118,17 @@ def test_tree_digest_depends_only_on_the_set(spark):
 
 def test_incremental_equals_full(spark):
     """Replacing files in several batches gives what one batch gives."""
-    node = "id string, owner_file string, qualified_name string"
-    edge = "id string, owner_file string, source_id string, target_id string, unresolved_target string, resolution string"
-    file = "path string, desired_generation long, indexed_generation long, indexed_hash string"
-    nodes = spark.createDataFrame([(f"n{i}", f"f{i % 4}", f"Q{i}") for i in range(12)], node)
-    edges = spark.createDataFrame([(f"e{i}", f"f{i % 4}", f"n{i}", f"n{(i * 4) % 12}" if i % 4 == 0 else f"n{i}", None, "exact_static") for i in range(12)], edge)
-    files = spark.createDataFrame([(f"f{i}", 2, 1, None) for i in range(4)], file)
+    node = "project_id string, id string, owner_file string, qualified_name string"
+    edge = "project_id string, id string, owner_file string, source_id string, target_project_id string, target_id string, unresolved_target string, resolution string"
+    file = "project_id string, path string, desired_generation long, indexed_generation long, indexed_hash string"
+    nodes = spark.createDataFrame([("p", f"n{i}", f"f{i % 4}", f"Q{i}") for i in range(12)], node)
+    edges = spark.createDataFrame([("p", f"e{i}", f"f{i % 4}", f"n{i}", "p", f"n{(i * 4) % 12}" if i % 4 == 0 else f"n{i}", None, "exact_static") for i in range(12)], edge)
+    files = spark.createDataFrame([("p", f"f{i}", 2, 1, None) for i in range(4)], file)
 
     def step(state, names):
-        done = spark.createDataFrame([(n, 2, "h") for n in names], "owner_file string, generation long, hash string")
-        fresh_n = spark.createDataFrame([(f"new-{n}", n, "New") for n in names], node)
-        fresh_e = spark.createDataFrame([(f"ne-{n}", n, f"new-{n}", f"new-{n}", None, "exact_static") for n in names], edge)
+        done = spark.createDataFrame([("p", n, 2, "h") for n in names], "project_id string, owner_file string, generation long, hash string")
+        fresh_n = spark.createDataFrame([("p", f"new-{n}", n, "New") for n in names], node)
+        fresh_e = spark.createDataFrame([("p", f"ne-{n}", n, f"new-{n}", "p", f"new-{n}", None, "exact_static") for n in names], edge)
         return inventory.replace_facts(state["nodes"], state["edges"], state["files"], done, fresh_n, fresh_e)
 
     start = {"nodes": nodes, "edges": edges, "files": files}
@@ -139,12 +139,21 @@ def test_incremental_equals_full(spark):
 
 
 def test_stale_ack_leaves_the_file_dirty(spark):
-    files = spark.createDataFrame([("f", 3, 1, None)], "path string, desired_generation long, indexed_generation long, indexed_hash string")
-    none_n = spark.createDataFrame([], "id string, owner_file string, qualified_name string")
-    none_e = spark.createDataFrame([], "id string, owner_file string, source_id string, target_id string, unresolved_target string, resolution string")
-    done = spark.createDataFrame([("f", 2, "h")], "owner_file string, generation long, hash string")
+    files = spark.createDataFrame([("p", "f", 3, 1, None)], "project_id string, path string, desired_generation long, indexed_generation long, indexed_hash string")
+    none_n = spark.createDataFrame([], "project_id string, id string, owner_file string, qualified_name string")
+    none_e = spark.createDataFrame([], "project_id string, id string, owner_file string, source_id string, target_project_id string, target_id string, unresolved_target string, resolution string")
+    done = spark.createDataFrame([("p", "f", 2, "h")], "project_id string, owner_file string, generation long, hash string")
     out = inventory.replace_facts(none_n, none_e, files, done, none_n, none_e)
-    assert rows(out["files"]) == [("f", 3, 1, None)]
+    assert rows(out["files"]) == [("p", "f", 3, 1, None)]
+
+
+def test_acks_are_judged_where_they_stand(spark):
+    """Mark, mark, acknowledge 2, mark: 2 was applied, and the project is dirty again."""
+    marks = spark.createDataFrame([("p", 1), ("p", 2), ("p", 4)], "project_id string, seq long")
+    acks = spark.createDataFrame([("p", 3, 2), ("p", 5, 2), ("p", 6, 4), ("q", 1, 1)], "project_id string, seq long, generation long")
+    out = backlog.dirty_generations(marks, acks, chunk_width=2)
+    assert rows(out["state"]) == [("p", 3, 2, True)]
+    assert [a.verdict for a in out["acks"].orderBy("project_id", "seq").collect()] == ["applied", "superseded", "invalid", "invalid"]
 
 
 def test_renames_pair_by_name_then_by_order(spark):
