@@ -17,6 +17,14 @@ def outbox(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(OUTBOX_SCHEMA).parquet(f"{folder}/batch=*")
 
 
+def conflicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Refused intents ``(id, idempotency_key, owner, batch_id)``: their key is another intent's."""
+    schema = "id string, idempotency_key string, owner string, batch_id long"
+    if not _exists(spark, f"{folder}-refused"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}-refused/batch=*")
+
+
 def plan_publish(batch: DataFrame, published: DataFrame) -> dict[str, DataFrame]:
     """New intents to publish, replays to skip, and keys that belong to another intent."""
     first = batch.groupBy("idempotency_key").agg(
@@ -36,13 +44,16 @@ def publish_once(folder: str):
     """A ``foreachBatch`` function that writes each intent once, also when a batch is replayed.
 
     A batch lands in a folder of its own number, which a replay overwrites; earlier
-    batches are what the keys are checked against.
+    batches are what the keys are checked against. Intents whose key belongs to another
+    one are written first, to a folder beside the outbox (``conflicts``).
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = outbox(spark, folder).where(F.col("batch_id") < batch_id)
-        new = plan_publish(batch, earlier)["publish"].withColumn("batch_id", F.lit(batch_id).cast("long"))
-        new.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        plan = {k: df.withColumn("batch_id", F.lit(batch_id).cast("long")) for k, df in plan_publish(batch, earlier).items()}
+        # before the batch: a replay's plan lists the files that the batch then overwrites
+        plan["conflicts"].write.mode("overwrite").parquet(f"{folder}-refused/batch={batch_id}")
+        plan["publish"].write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return run

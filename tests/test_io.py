@@ -165,3 +165,16 @@ def test_publishing_is_idempotent_under_replay(spark, tmp_path):
     assert rows(publish.outbox(spark, folder), "id", "idempotency_key") == [("i1", "k1"), ("i2", "k2"), ("i4", "k4")]
     plan = publish.plan_publish(second, publish.outbox(spark, folder).where("batch_id < 1"))
     assert rows(plan["conflicts"]) == [("i3", "k1", "i1")]
+
+
+def test_refused_intents_are_kept(spark, tmp_path):
+    """A key of another intent is refused in writing, once, also when its batch is replayed."""
+    folder = str(tmp_path / "outbox")
+    write = publish.publish_once(folder)
+    shape = "id string, idempotency_key string, project_id string, generation_id string"
+    first = spark.createDataFrame([("a", "k1", "p", "g")], shape)
+    second = spark.createDataFrame([("a", "k1", "p", "g"), ("b", "k1", "p", "g"), ("c", "k2", "p", "g"), ("d", "k2", "p", "g")], shape)
+    for batch, number in ((first, 0), (second, 1), (second, 1)):
+        write(batch, number)
+    assert sorted(r.id for r in publish.outbox(spark, folder).collect()) == ["a", "c"]
+    assert sorted(tuple(r) for r in publish.conflicts(spark, folder).collect()) == [("b", "k1", "a", 1), ("d", "k2", "c", 1)]
