@@ -46,17 +46,22 @@ def sample(spans: Spans, offsets: np.ndarray, length: int, prefix: int) -> tuple
     if size < length:
         return none
     at = np.arange(size - prefix + 1)
-    low = np.uint64((1 << 24) - 1)
-    value = (spans.hash(at, at + prefix) & ~low) | at.astype(np.uint64)
+    bits = np.uint64(width.bit_length())
+    low = np.uint64((1 << int(bits)) - 1)
+    # the place in its block of ``width`` goes with each hash, so that no place in the text has to fit into it
+    value = (spans.hash(at, at + prefix) & ~low) | (at % width).astype(np.uint64)
     # smallest of each sliding window: running minima from both ends of blocks of its width
     windows = len(value) - width + 1
     blocks = -(-len(value) // width)
     grid = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
     grid[: len(value)] = value
     grid = grid.reshape(blocks, width)
-    after = np.minimum.accumulate(grid, axis=1).ravel()
-    before = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    chosen = (np.minimum(before[:windows], after[width - 1: width - 1 + windows]) & low).astype(np.int64)
+    after = np.minimum.accumulate(grid, axis=1).ravel()[width - 1: width - 1 + windows]
+    before = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()[:windows]
+    # a window ends one block and begins the next; of equal hashes the left one counts
+    left = (before >> bits) <= (after >> bits)
+    block = np.where(left, at[:windows], at[width - 1: width - 1 + windows]) // width
+    chosen = block * width + (np.where(left, before, after) & low).astype(np.int64)
     starts = np.concatenate([np.arange(a, max(a, b - length + 1)) for a, b in zip(offsets[:-1], offsets[1:])])
     if not len(starts):
         return none

@@ -141,6 +141,16 @@ def test_repeats(docs, none):
     assert repeats.strip_repeats(docs).columns == docs.columns
 
 
+def test_repeats_in_long_text(spark):
+    letters = np.random.default_rng(5).integers(97, 123, 17 << 20, dtype=np.uint8).tobytes().decode()
+    passage = letters[-700:-200]
+    rows = [(1, letters), (2, f"Own words, {passage} and own words.")]
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        rest = text.replace(passage, "").encode()
+        assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (500, 1, hashlib.sha256(rest).hexdigest())
+
+
 def test_sentences(docs, none, spark):
     passage = "The first one is here now, really. A second one follows it closely. And then there is a third one."
     rows = [(1, f"Own words begin. {passage} Own end."), (2, f"Other words begin. {passage} Other end."), (3, None), (3, "")]
