@@ -26,18 +26,37 @@ def sentences(text: str) -> list[str]:
 
 
 def runs(pieces: list[str], least: int, least_words: int):
-    """``(first, count, hash)`` of the shortest run from each sentence on with enough sentences and words."""
+    """``(first, count, hash)`` of the shortest run from each sentence on, and up to each sentence, with enough sentences and words.
+
+    Any run that is long enough is covered by those of these that lie in it: a sentence
+    whose own run would reach beyond the end lies in the shortest run up to that end.
+    """
     split = [p.lower().split() for p in pieces]
     joined = [" ".join(w).encode() for w in split]
+
+    def run(a, b):
+        return a, b - a, blake2b(b" ".join(joined[a:b]), digest_size=16).digest()
+
+    ends = set()
     to = words = 0
     for at in range(len(pieces)):
         while to < len(pieces) and (to - at < least or words < least_words):
             words += len(split[to])
             to += 1
         if to - at < least or words < least_words:
-            return
-        yield at, to - at, blake2b(b" ".join(joined[at:to]), digest_size=16).digest()
+            break
+        ends.add(to)
+        yield run(at, to)
         words -= len(split[at])
+    # where a run from some sentence on ends, the shortest one up to there is among the above
+    at = words = 0
+    for to in range(1, len(pieces) + 1):
+        words += len(split[to - 1])
+        while to - at > least and words - len(split[at]) >= least_words:
+            words -= len(split[at])
+            at += 1
+        if to not in ends and to - at >= least and words >= least_words:
+            yield run(at, to)
 
 
 def _spans(least: int, least_words: int):
@@ -75,9 +94,10 @@ def _rebuild(batches):
 def drop_repeated_spans(docs: DataFrame, least: int = 2, least_words: int = 12, text: str = "text") -> DataFrame:
     """``doc_id, n_sentences, n_removed, n_spans, text`` for every row of ``docs``; ``text`` is what is left.
 
-    From each sentence on, the shortest run of at least ``least`` sentences and
-    ``least_words`` words is hashed, with A-Z and other case and white space
-    levelled. Of equal runs in all documents the first one, by ``doc_id`` and place,
+    From each sentence on, and up to each sentence, the shortest run of at least
+    ``least`` sentences and ``least_words`` words is hashed, with A-Z and other case
+    and white space levelled; together they cover what all longer runs of the same
+    sentences cover. Of equal runs in all documents the first one, by ``doc_id`` and place,
     stays; every sentence that lies in any other one goes. Runs are judged on the
     input, so a run may go although part of its first occurrence goes too.
 

@@ -160,6 +160,27 @@ def test_sentences(docs, none, spark):
     assert sentences.drop_repeated_spans(docs).count() == len(ROWS) and sentences.drop_repeated_spans(none).count() == 0
 
 
+def test_sentences_equal_all_runs(spark):
+    r = random.Random(11)
+    line = lambda: " ".join(r.choice(VOCABULARY) for _ in range(r.choice([1, 2, 3, 9, 14]))) + ". "
+    passages = [[line() for _ in range(r.randrange(2, 7))] + ["So be it. ", "Yes. "] for _ in range(6)]
+    rows = []
+    for k in range(40):
+        parts = [[line() for _ in range(r.randrange(0, 3))] + r.choice(passages)[r.randrange(0, 2):] for _ in range(2)]
+        rows.append((k, "".join(p for part in parts for p in part)))
+    cut = {i: sentences.sentences(t) for i, t in rows}
+    seen, gone = set(), {i: set() for i, _ in rows}
+    for i, pieces in cut.items():
+        for a in range(len(pieces)):
+            for b in range(a + 2, len(pieces) + 1):
+                words = tuple(w for p in pieces[a:b] for w in p.lower().split())
+                if len(words) >= 12:
+                    gone[i].update(range(a, b) if words in seen else ())
+                    seen.add(words)
+    got = {x.doc_id: x.text for x in sentences.drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: "".join(p for k, p in enumerate(pieces) if k not in gone[i]) for i, pieces in cut.items()}
+
+
 def test_tokens():
     texts = [t for _, t in ROWS] + ["  two  blanks ", " a\n b", "it's 12 a,b. c.", "x.,y", "<|endoftext|> <|endoftext|>a"]
     plain = Tokenizer.from_file(DEFAULT)
