@@ -104,6 +104,22 @@ def test_shards(docs, none):
     assert sharding.assign_shards(none, 7).count() == 0
 
 
+def test_shards_hold_groups(spark):
+    sizes = [6000, 500, 300, 200, 100, *[r % 9 + 2 for r in range(400)]]
+    texts = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"alone {k}" for k in range(20_000 - len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sharding.assign_shards(docs, 40).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == len({r.doc_id for r in got}) == 20_000 and set(counts.values()) == {500}
+    assert len({(r.shard, r.slot) for r in got}) == 20_000 and {r.slot for r in got} == set(range(500))
+    touched = {}
+    for r in got:
+        touched.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert [len(touched[f"text {g}"]) for g in range(len(sizes))] == [12] + [1] * (len(sizes) - 1)
+    assert max(touched["text 0"]) - min(touched["text 0"]) == 11
+
+
 @pytest.mark.parametrize("width,share", [(3, 90), (5, 80)])
 def test_jaccard(docs, none, width, share):
     sets = {}
