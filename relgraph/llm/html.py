@@ -30,6 +30,10 @@ _CLOSES_P = set(
 )
 _AUTO = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CONTAINERS = set("html body main article section div td aside nav header footer form ul ol dl table blockquote figure center".split())
+#: Containers that may be chosen for the main text, and those that are kept or left whole.
+_ENTERED = set("html body main article div td center".split())
+_WHOLE = set("article section ul ol dl blockquote figure".split())
+_NEARLY_ALL = 0.9
 _OUT_TAGS = set("nav footer aside form button menu dialog head".split())
 _OUT_NAMES = set(
     "nav navbar navigation menu footer sidebar breadcrumb breadcrumbs cookie cookies consent notice notices banner ad ads advert adverts "
@@ -145,25 +149,47 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """A score for each container: the text that stands in it, links counted against it, and half as much for each step up."""
-    own: dict[tuple[str, ...], float] = defaultdict(float)
+def best_path(found: list[Block]) -> str | None:
+    """The container of the main text, "" for the whole page; null without any text.
+
+    A ``main`` or ``article`` with more than half of the text is taken, else the page.
+    From there the path goes down through other containers that hold nearly all
+    text, but never past an article and never past text that stands directly in a
+    container, such as a heading. Sections, lists, tables, quotes and figures are text
+    of what they stand in. Text that is mostly links does not count.
+    """
+    direct: dict[tuple[str, ...], int] = defaultdict(int)
+    below: dict[tuple[str, ...], int] = defaultdict(int)
     for block in found:
         if not block.out:
-            weight = len(block.text) - 2 * block.linked
-            for up in range(len(block.path)):
-                own[block.path[: len(block.path) - up]] += weight / 2**up
-    return own
-
-
-def best_path(found: list[Block]) -> str | None:
-    own = scores(found)
-    best = max(own, key=lambda p: (own[p], len(p), p), default=None)
-    return ">".join(best) if best else None
+            weight = max(0, len(block.text) - 2 * block.linked)
+            direct[block.path] += weight
+            for up in range(len(block.path) + 1):
+                below[block.path[:up]] += weight
+    if not below:
+        return None
+    tags = {p: [step.partition(".")[0] for step in p] for p in below}
+    # a cell of a layout table may be gone into, the table itself may not be chosen
+    open_paths = [p for p in below if p and tags[p][-1] in _ENTERED and not _WHOLE.intersection(tags[p][:-1])]
+    path: tuple[str, ...] = ()
+
+    def heading_lost(to):
+        return any(direct.get(to[:k]) for k in range(len(path), len(to)))
+
+    for wanted in ("main", "article"):
+        inside = [p for p in open_paths if tags[p][-1] == wanted and p[: len(path)] == path and 2 * below[p] > below[path]]
+        inside = [p for p in inside if wanted == "main" or not heading_lost(p)]
+        if inside:
+            path = min(inside, key=lambda p: (len(p), -below[p], p))
+    enough = max(1, _NEARLY_ALL * below[path])
+    for p in sorted(open_paths, key=len):
+        if len(p) > len(path) and p[: len(path)] == path and below[p] >= enough and not heading_lost(p):
+            path = p
+    return ">".join(path)
 
 
 def text_under(found: list[Block], path: str) -> str:
-    wanted = tuple(path.split(">"))
+    wanted = tuple(path.split(">")) if path else ()
     return "\n".join(b.text for b in found if not b.out and b.path[: len(wanted)] == wanted)
 
 
@@ -181,8 +207,9 @@ def _extract(batches):
         for html, winners in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist()):
             found = blocks(html or "")
             text, path = "", None
-            for path in [*(winners or ()), best_path(found)]:
-                if path and (text := text_under(found, path)):
+            own = best_path(found)
+            for path in [own] if own in (winners or ()) else [*(winners or ()), own]:
+                if path is not None and (text := text_under(found, path)):
                     break
             texts.append(text)
             used.append(path if text else None)
@@ -192,10 +219,10 @@ def _extract(batches):
 def extract_text(pages: DataFrame, share: float = 0.25) -> DataFrame:
     """``page_id, url, path, text`` for every row of ``pages`` (``page_id, url, html``).
 
-    Each page scores its containers and votes for its best one, as a path of tags and
-    first classes with digits generalised. Paths with ``share`` of a host's votes or
-    more win; a page takes the text under the first of them that it has, or under its
-    own best one. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+    Each page votes for the container of its main text (``best_path``), as a path of tags
+    and first classes with digits generalised. Paths with ``share`` of a host's votes or
+    more win; a page takes the text under its own one if that wins, else under the first
+    winner that it has, or under its own one. The path "" is the whole page. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
     styles and reader comments below it are left out.
 
     Votes are counted before they are shuffled. The winners, four paths a host at most,

@@ -290,6 +290,30 @@ def test_html(spark):
     assert got[9] == got[10] == ""
 
 
+def test_html_keeps_whole_articles(spark):
+    long, short = "word " * 60, "Some few words here. " * 5
+    around = "<html><body><nav>Menu</nav>{}<footer>End</footer></body></html>"
+    items = f"<ul class=points><li>{long}<li>{long}</ul>"
+    inner = [
+        f"<article><h1>Head</h1><p>{short}</p>{items}</article>",
+        f"<article><h1>Head</h1><section class=a><p>{long * 9}</p></section><section class=b><p>{short}</p></section></article>",
+        f"<div class=post><h1>Head</h1><div class=text><p>{long * 9}</p></div></div>",
+        f"<main><div class=a><p>{long}</p></div><blockquote><p>{long * 3}</p></blockquote><figure><p>{short}</p></figure></main><div>Teaser</div>",
+        f"<div class=top>Site</div><div class=page><table><tr><td><p>{long * 9}</p><p>{short}</p></td></tr></table></div>",
+        f"<article><p>{short}</p><table><tr><td>{long}</td><td>{long}</td></tr></table></article><div class=teaser>{long}</div>",
+    ]
+    pages = [(k, f"http://h{k}.org/", around.format(x)) for k, x in enumerate(inner)] + [(9, "http://h9.org/", f"<h1>Head</h1><div><p>{short}</div>")]
+    got = {r.page_id: r.text for r in html.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    one, few = long.strip(), short.strip()
+    assert got[0] == "\n".join(["Head", few, one, one])
+    assert got[1] == "\n".join(["Head", (long * 9).strip(), few])
+    assert got[2] == "\n".join(["Head", (long * 9).strip()])
+    assert got[3] == "\n".join([one, (long * 3).strip(), few])
+    assert got[4] == "\n".join([(long * 9).strip(), few])
+    assert got[5] == "\n".join([few, one, one])
+    assert got[9] == "\n".join(["Head", few])
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for (_, stage), _ in zip(corpus_pipeline.STAGES, range(4)):
