@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontaminate, html, jaccard, packing, quality, repeats, sentences, sharding, tokenfile, urls
+from relgraph.llm import decontaminate, fim, html, jaccard, packing, quality, repeats, sentences, sharding, tokenfile, urls
 from relgraph.llm.common import table
 from relgraph.session import shared_dir
 
@@ -124,3 +124,31 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.match_items(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_items", "best_item", "best_distance", (F.col("n_items") > 0).alias("contaminated"))
+
+
+_FIM_SQL = """
+WITH a AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+  sha256('1:' || CAST(doc_id AS VARCHAR)) AS s FROM documents),
+b AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+  CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM a),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM b),
+d AS (SELECT doc_id, n, t, form, array_to_string(u[1:x], '') AS p, array_to_string(u[x + 1:y], '') AS m, array_to_string(u[y + 1:], '') AS s FROM c),
+e AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS o FROM d),
+f AS (SELECT *, CASE form WHEN 'spm' THEN strpos(o, '<P>') ELSE strpos(o, '<S>') END AS two, strpos(o, '<M>') AS three FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(o) AS output_sha256, sha256(CASE form WHEN 'plain' THEN o
+    WHEN 'psm' THEN substr(o, 4, two - 4) || substr(o, three + 3) || substr(o, two + 3, three - two - 3)
+    ELSE substr(o, two + 3, three - two - 3) || substr(o, three + 3) || substr(o, 4, two - 4) END) AS restored_sha256
+FROM f
+"""
+
+
+@query("op11_fill_in_middle", _FIM_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
