@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontaminate, fim, html, jaccard, packing, quality, repeats, sentences, sharding, tokenfile, urls
+from relgraph.llm import decontaminate, fim, html, jaccard, packing, quality, repeats, sentences, sharding, tokenfile, trie, urls
 from relgraph.llm.common import table
 from relgraph.session import shared_dir
 
@@ -152,3 +152,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+_TRIE_SQL = """
+WITH RECURSIVE crc(v, k, x) AS (SELECT DISTINCT conv_id, 0, CAST(4294967295 AS BIGINT) FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT v, k + 1, list_reduce([xor(x, CAST(ascii(substr(CAST(v AS VARCHAR), k + 1, 1)) AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: xor(a >> 1, CAST(3988292384 AS BIGINT) * (a & 1))) FROM crc WHERE k < length(CAST(v AS VARCHAR))),
+h AS (SELECT v AS c, v - v % 5 AS base, xor(x, CAST(4294967295 AS BIGINT)) % 9 AS h FROM crc WHERE k = length(CAST(v AS VARCHAR))),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+  coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+u AS (SELECT c, p, r, x FROM h JOIN t ON t.conv_id = base AND p <= h UNION ALL SELECT c, p, r, x FROM h JOIN t ON t.conv_id = c AND p > h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d, sha256(length(r) || ':' || r || x) AS k, strlen(x) AS b FROM u),
+path AS (SELECT c, d, string_agg(k, '') OVER (PARTITION BY c ORDER BY d) AS path, b, count(*) OVER (PARTITION BY c) AS n FROM s
+  UNION ALL SELECT c, 0, '', 0, (SELECT count(*) FROM s WHERE s.c = h.c) FROM h),
+node AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, max(n) > d AS inner_node,
+  sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256 FROM path GROUP BY path, d),
+up AS (SELECT a.path, sum(CASE WHEN o.inner_node THEN 0 ELSE 1 END) AS n_leaves, sum((o.n_convs - 1) * o.b) AS saved_tokens,
+  sum(CASE WHEN o.d = a.d + 1 THEN 1 ELSE 0 END) AS n_children FROM node o JOIN path a ON a.c = o.conv_id AND a.d <= o.d GROUP BY a.path)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, node.n_convs, CAST(n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN up USING (path) LEFT JOIN node parent ON node.d > 0 AND parent.path = substr(node.path, 1, length(node.path) - 64)
+"""
+
+
+@query("op12_prefix_trie", _TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = trie.rebuild(trie.number_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, members)
