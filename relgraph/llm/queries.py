@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgraph.llm import decontaminate, fim, html, jaccard, packing, quality, repeats, sentences, sharding, tokenfile, trie, urls
+from relgraph.llm import decontaminate, fim, html, jaccard, minhash, packing, quality, repeats, sentences, sharding, tokenfile, trie, urls
 from relgraph.llm.common import table
 from relgraph.session import shared_dir
 
@@ -179,3 +179,8 @@ FROM node JOIN up USING (path) LEFT JOIN node parent ON node.d > 0 AND parent.pa
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, members = trie.rebuild(trie.number_turns(table(spark, sf_dir, "conversations")))
     return trie.prefix_trie(turns, members)
+
+
+@query("op13_tensored_minhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
