@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from relgraph.operators import backlog, inventory, reconcile, snapshots
+from relgraph.operators import backlog, graph, inventory, packing, reconcile, snapshots
 from relgraph.plans.registry import query, relation
 
 NOW = 946_684_800_000
@@ -225,16 +225,19 @@ def _(read):
 
 
 @query("w7_shard_packing", """
-WITH RECURSIVE k AS (SELECT id, strlen(body) + 1 AS n, cast(('0x' || substr(sha256(id), 1, 16))::UBIGINT % 512 AS int) AS bucket FROM @record_docs WHERE role = 0),
-o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS rn FROM k),
-r AS (SELECT bucket, id, n, rn, 0 AS part, n AS filled FROM o WHERE rn = 1
-  UNION ALL SELECT o.bucket, o.id, o.n, o.rn, CASE WHEN r.filled + o.n > 2000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.filled + o.n > 2000 THEN o.n ELSE r.filled + o.n END FROM r JOIN o ON o.bucket = r.bucket AND o.rn = r.rn + 1)
-SELECT bucket, id AS key, part, 'bucket-' || lpad(cast(bucket AS varchar), 3, '0') || CASE WHEN part > 0 THEN '/part-' || lpad(cast(part AS varchar), 3, '0') ELSE '' END AS shard, cast(n AS bigint) AS bytes FROM r""")
+WITH RECURSIVE p AS (SELECT CASE role WHEN 0 THEN 'nodes' ELSE 'edges' END AS role, id AS key, body AS line FROM @record_docs UNION ALL SELECT 'texts', cast(doc_id AS varchar), coalesce(text, '') FROM $documents),
+k AS (SELECT role, key, strlen(line) + 1 AS n, cast(('0x' || substr(sha256(key), 1, 16))::UBIGINT % 512 AS int) AS bucket FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY role, bucket ORDER BY key) AS rn FROM k WHERE n <= 4000),
+r AS (SELECT role, bucket, key, n, rn, 0 AS part, n AS filled FROM o WHERE rn = 1
+  UNION ALL SELECT o.role, o.bucket, o.key, o.n, o.rn, CASE WHEN r.filled + o.n > 4000 THEN r.part + 1 ELSE r.part END, CASE WHEN r.filled + o.n > 4000 THEN o.n ELSE r.filled + o.n END FROM r JOIN o ON o.role = r.role AND o.bucket = r.bucket AND o.rn = r.rn + 1)
+SELECT role, bucket, key, cast(part AS bigint) AS part, 'bucket-' || lpad(cast(bucket AS varchar), 3, '0') || CASE WHEN part > 0 THEN '/part-' || lpad(cast(part AS varchar), 3, '0') ELSE '' END AS shard, cast(n AS bigint) AS bytes FROM r
+UNION ALL SELECT role, bucket, key, NULL, NULL, cast(n AS bigint) FROM k WHERE n > 4000""")
 def _(read):
-    from relgraph.operators.graph import node_document
-
-    records = node_document(read("pub_nodes")).select(F.col("id").alias("key"), F.col("body").alias("line"))
-    return snapshots.pack_shards(records, 2000, 512)["plan"]
+    records = graph.documents(read("pub_nodes"), read("pub_edges")).select(
+        F.when(F.col("role") == 0, "nodes").otherwise("edges").alias("role"), F.col("id").alias("key"), F.col("body").alias("line"))
+    texts = read("documents").select(F.lit("texts").alias("role"), F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("line"))
+    packed = packing.pack_shards(records.unionByName(texts), 4000, 512, by=["role"])  # many texts are over the cap
+    return packed["plan"].select("role", "bucket", "key", "part", "shard", "bytes").unionByName(packed["too_large"], allowMissingColumns=True)
 
 
 # ---- flushes of hints ---------------------------------------------------------

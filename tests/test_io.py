@@ -41,7 +41,7 @@ def test_generation_is_content_addressed_and_verified(spark, tmp_path):
     schemas = {"nodes": NODES, "edges": EDGES}
     found = snapshots.read_snapshot(spark, root, {"p": first}, schemas)
     assert rows(found["nodes"]) == rows(nodes) and rows(found["edges"]) == rows(edges)
-    victim = glob.glob(f"{root}/generations/{first}/role=nodes/bucket=*/part-*")[0]
+    victim = glob.glob(f"{root}/generations/generation_id={first}/role=nodes/bucket=*/part=*/part-*")[0]
     with open(victim, "a") as f:
         f.write('{"id":"zz","kind":"Class"}\n')
     os.remove(os.path.join(os.path.dirname(victim), "." + os.path.basename(victim) + ".crc"))
@@ -51,6 +51,34 @@ def test_generation_is_content_addressed_and_verified(spark, tmp_path):
         snapshots.read_snapshot(spark, root, {"p": "0" * 64}, schemas)
 
 
+def test_generations_in_capped_parts(spark, tmp_path):
+    root = str(tmp_path / "store")
+    nodes, edges = small(spark, 200)
+    first = snapshots.write_generation(nodes, edges, root, "p", 1, buckets=2, max_bytes=400)
+    other = snapshots.write_generation(nodes.limit(0), edges.where("id < 'e5'"), root, "q", 1, buckets=2, max_bytes=400)
+    manifest = spark.read.parquet(f"{root}/manifests/generation_id={first}")
+    assert manifest.agg(F.max("bytes")).first()[0] <= 400 and manifest.groupBy("role", "bucket").count().agg(F.min("count")).first()[0] > 5
+    schemas = {"nodes": NODES, "edges": EDGES}
+    vector = spark.createDataFrame([("p", first), ("q", other)], "project_id string, generation_id string")
+    found = snapshots.read_snapshot(spark, root, vector, schemas)
+    assert rows(found["nodes"]) == rows(nodes)
+    assert rows(found["edges"]) == rows(edges.unionByName(edges.where("id < 'e5'")))
+    assert snapshots.read_snapshot(spark, root, vector.limit(0), schemas)["nodes"].count() == 0
+    with pytest.raises(snapshots.SnapshotError, match="nodes n1 needs"):
+        snapshots.write_generation(nodes.where("id = 'n1'"), edges, root, "p", 1, buckets=2, max_bytes=10)
+
+
+def test_publishing_again_mends_what_a_crash_left(spark, tmp_path):
+    root = str(tmp_path / "store")
+    nodes, edges = small(spark)
+    first = snapshots.write_generation(nodes, edges, root, "p", 1, buckets=4)
+    for part in ("registry", f"manifests/generation_id={first}"):  # written last, and before that
+        os.rename(f"{root}/{part}", f"{tmp_path}/{part.split('/')[0]}-lost")
+        assert snapshots.write_generation(nodes, edges, root, "p", 2, buckets=4) == first
+        assert spark.read.parquet(f"{root}/registry").select("generation_id").collect() == [(first,)]
+        assert rows(snapshots.read_snapshot(spark, root, {"p": first}, {"nodes": NODES})["nodes"]) == rows(nodes)
+
+
 def test_export_refuses_existing_destinations_and_unknown_ids(spark, tmp_path):
     nodes, edges = small(spark)
     ids = spark.createDataFrame([("n1",), ("n7",)], "id string")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relgraph.operators import backlog, graph, inventory, ordered, publish, reconcile, resolve, snapshots
+from relgraph.operators import backlog, graph, inventory, ordered, packing, publish, reconcile, resolve, snapshots
 from tests.helpers import rows
 
 NODE = "id string, project_id string, kind string, name string, qualified_name string, language string, file string, start_line long, end_line long"
@@ -189,9 +189,35 @@ def test_boundary_links_and_case_only_renames_bound_the_rescan(spark):
 
 def test_record_over_the_cap_is_reported(spark):
     records = spark.createDataFrame([("a", "x" * 50), ("b", "y" * 5)], "key string, line string")
-    out = snapshots.pack_shards(records, 20, 4)
-    assert rows(out["too_large"]) == [("a", 51)]
+    out = packing.pack_shards(records, 20, 4)
+    assert rows(out["too_large"], "key", "bytes") == [("a", 51)]
     assert rows(out["plan"], "key", "part") == [("b", 0)]
+    assert packing.pack_shards(records.limit(0), 20, 4)["plan"].count() == 0
+
+
+@pytest.mark.parametrize("cap, chunk_bits", [(40, 3), (40, 18), (300, 2), (10_000, 3)])
+def test_parts_of_one_bucket_over_many_tasks(spark, cap, chunk_bits):
+    """One bucket of many records, cut into chunks far smaller and far larger than a part."""
+    values = random.Random(cap)
+    data = [(role, f"k{i:04d}", "x" * values.randrange(40)) for role in ("nodes", "edges") for i in range(400)]
+    df = spark.createDataFrame(data, "role string, key string, line string").repartition(5)
+    out = packing.pack_shards(df, cap, 1, by=["role"], carry=["line"], chunk_bits=chunk_bits)["plan"]
+    want, at = [], {}
+    for role, key, line in sorted(data):
+        part, filled = at.get(role, (0, 0))
+        part, filled = (part + 1, 0) if filled and filled + len(line) + 1 > cap else (part, filled)
+        at[role] = (part, filled + len(line) + 1)
+        want.append((role, key, line, part, "bucket-000" + (f"/part-{part:03d}" if part else "")))
+    assert rows(out, "role", "key", "line", "part", "shard") == sorted(want, key=repr)
+
+
+def test_ranks_in_ranges(spark):
+    data = [(None if i % 3 else "k", 7 if i % 2 else None, i) for i in range(300)]
+    df = spark.createDataFrame(data, "key string, at int, id int").repartition(6)
+    got = {r.id: r.rank for r in ordered.rank_in_ranges(df, ["key"], ["at", "id"]).collect()}
+    for key in (None, "k"):
+        ids = sorted((i for k, _, i in data if k == key), key=lambda i: (i % 2 == 1, i))
+        assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
 
 
 def test_occurrence_ranks_ignore_partitioning(spark):
