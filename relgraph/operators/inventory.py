@@ -329,26 +329,45 @@ def audit_facts(nodes: DataFrame, edges: DataFrame, max_nodes: int = 20_000, max
 
 
 def remove_solution(tables: dict[str, DataFrame], solution: str) -> dict[str, DataFrame]:
-    """Every table without the rows of one solution, in the order of their references.
-
-    ``projects(id, solution_id)``, ``files(project_id, path, ..)``, ``nodes(project_id, id, ..)``,
-    ``edges(owner_file, owner_project, source_id, ..)``, ``jobs(solution_id, ..)``.
+    """Every given table without the rows of one solution.
+
+    A row goes with its solution, with a project of it, or with a job or revision of it.
+    Ids of nodes are ids inside a project, so an edge goes if the project of its owner
+    file or that of its source goes (``owner_project``, ``source_project``, which is the
+    owner's where there is no such column), never by a bare id.
+
+    ``solutions(id)``, ``projects(id, solution_id)``, ``jobs(id, solution_id)``,
+    ``graph_revisions(id, solution_id)`` and ``runtime_checkpoints(solution_id)``; ``files``,
+    ``nodes``, ``dirty_files``, ``catalog_refs`` and ``published_generations`` by ``project_id``;
+    ``job_attempts(job_id)``, ``job_files(job_id, project_id)``, ``publish_outbox(project_id, revision_id)``.
+    Null keys belong to no solution and stay. Tables named otherwise are refused.
     """
-    gone = tables["projects"].where(F.col("solution_id") == solution).select(F.col("id").alias("project_id"))
-    gone_nodes = tables["nodes"].join(gone, "project_id", "left_semi").select(F.col("id").alias("source_id"))
-    edges = (
-        tables["edges"]
-        .join(gone.withColumnRenamed("project_id", "owner_project"), "owner_project", "left_anti")
-        .join(gone_nodes, "source_id", "left_anti")
-        .select(*tables["edges"].columns)
-    )
-    return {
-        "edges": edges,
-        "nodes": tables["nodes"].join(gone, "project_id", "left_anti"),
-        "files": tables["files"].join(gone, "project_id", "left_anti"),
-        "jobs": tables["jobs"].where(~F.col("solution_id").eqNullSafe(F.lit(solution))),
-        "projects": tables["projects"].where(~F.col("solution_id").eqNullSafe(F.lit(solution))),
+    def ids(table: str, name: str) -> DataFrame:
+        return tables[table].where(F.col("solution_id") == solution).select(F.col("id").alias(name)).distinct()
+
+    def without(df: DataFrame, gone: DataFrame, column: str) -> DataFrame:
+        return df.join(gone.toDF("_gone"), F.col(column) == F.col("_gone"), "left_anti")
+
+    by_solution = lambda df: df.where(~F.col("solution_id").eqNullSafe(F.lit(solution)))
+    by_project = lambda df: without(df, ids("projects", "project_id"), "project_id")
+    by_job = lambda df: without(df, ids("jobs", "job_id"), "job_id")
+    by_owner = lambda df: without(df, ids("projects", "project_id"), "owner_project")
+    by_source = lambda df: without(df, ids("projects", "project_id"), "source_project") if "source_project" in df.columns else df
+    by_revision = lambda df: without(df, ids("graph_revisions", "revision_id"), "revision_id")
+    rules = {
+        "edges": [by_owner, by_source], "job_files": [by_job, by_project], "job_attempts": [by_job], "publish_outbox": [by_project, by_revision],
+        **dict.fromkeys(["nodes", "files", "dirty_files", "catalog_refs", "published_generations"], [by_project]),
+        **dict.fromkeys(["jobs", "graph_revisions", "runtime_checkpoints", "projects"], [by_solution]),
+        "solutions": [lambda df: df.where(~F.col("id").eqNullSafe(F.lit(solution)))],
     }
+    left = {}
+    for name, df in tables.items():
+        if name not in rules:
+            raise ValueError(f"no rule for table {name}")
+        for rule in rules[name]:
+            df = rule(df)
+        left[name] = df
+    return left
 
 
 def occurrence_keys(decls: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.functions import identity
 from relgraph.functions.kinds import (EDGE_KINDS, NODE_KINDS, RESOLUTIONS, canonical_resolution, contract_edge_kind,
                                       contract_kind, vocabulary_kind, vocabulary_rank)
-from relgraph.operators.ordered import range_chunks, rank_in_order
+from relgraph.operators.ordered import rank_in_ranges
 
 CONTAINS_RULE = "declaration-contains-v1"
 
@@ -16,12 +16,12 @@ CONTAINS_RULE = "declaration-contains-v1"
 def occurrence_suffix(nodes: DataFrame) -> DataFrame:
     """Published key of each node: the qualified name, ``#2``, ``#3``... for later occurrences.
 
-    A qualified name may repeat in a large share of the files, so its occurrences are
-    ranked in chunks of the file order.
+    A qualified name may repeat in a large share of the files, or of the lines of one
+    file, so its occurrences are ranked over ranges of file, line and id.
     """
     keys = ["project_id", "language", "contract_kind", "qualified_name"]
     mapped = nodes.withColumn("contract_kind", contract_kind(F.col("kind"))).where(F.col("contract_kind").isNotNull())
-    ranked = rank_in_order(mapped, keys, ["owner_file", "start_line", "id"], range_chunks(nodes, "owner_file"), "occurrence")
+    ranked = rank_in_ranges(mapped, keys, ["owner_file", "start_line", "id"], "occurrence")
     return ranked.withColumn(
         "published_key",
         F.when(F.col("occurrence") == 1, F.col("qualified_name")).otherwise(
@@ -33,35 +33,49 @@ def occurrence_suffix(nodes: DataFrame) -> DataFrame:
 def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     """Published nodes and edges with content-derived ids.
 
-    An edge whose source is not published is dropped. A target that is not published
+    Stored ids are ids inside a project: an edge of ``project_id`` starts at that project's
+    ``source_id`` and ends at ``target_id`` of ``target_project_id``. An edge whose source is
+    not published is dropped. A target that is not published
     becomes unresolved, named by the stored name, else the target's qualified name, else
-    the owner file.
+    the owner file. An edge without evidence gets the first line of its owner file. Of stored
+    edges that publish the same id, the one with the smallest stored id stays. ``attributes``
+    of nodes are passed on.
     """
     keyed = occurrence_suffix(nodes)
     published = keyed.select(
         identity.node_id(F.col("project_id"), F.col("language"), F.col("contract_kind"), F.col("published_key")).alias("pub_id"),
         "id", "project_id", F.col("contract_kind").alias("kind"), "name", F.col("published_key").alias("qualified_name"),
         "language", F.struct(F.col("owner_file").alias("file"), "start_line", "end_line").alias("source"),
-        F.lit("semantic_key").alias("identity_quality"),
+        F.lit("semantic_key").alias("identity_quality"), *(["attributes"] if "attributes" in nodes.columns else []),
     )
-    names = published.select("id", "pub_id")
-    stored = nodes.select(F.col("id").alias("target_id"), F.col("qualified_name").alias("stored_name"))
+    names = published.select("project_id", "id", "pub_id")
     kind = contract_edge_kind(F.col("kind"))
     typed = edges.withColumn("edge_kind", kind).where(F.col("edge_kind").isNotNull())
-    joined = (
-        typed.join(names.select(F.col("id").alias("source_id"), F.col("pub_id").alias("pub_source")), "source_id")
-        .join(names.select(F.col("id").alias("target_id"), F.col("pub_id").alias("pub_target")), "target_id", "left")
-        .join(stored, "target_id", "left")
+    sources = names.select("project_id", F.col("id").alias("source_id"), F.col("pub_id").alias("pub_source"))
+    joined = typed.join(sources, ["project_id", "source_id"])
+    # one relation of targets: the published id where there is one, and the stored name
+    targets = nodes.select("project_id", "id", "qualified_name").join(names, ["project_id", "id"], "left").select(
+        F.col("project_id").alias("target_project_id"), F.col("id").alias("target_id"), F.col("pub_id").alias("pub_target"),
+        F.col("qualified_name").alias("stored_name"),
     )
+    # edges without a target meet nothing; as null keys they would be one task
+    aimed = joined.where("target_id is not null").join(targets, ["target_project_id", "target_id"], "left")
+    joined = aimed.unionByName(joined.where("target_id is null"), allowMissingColumns=True)
     resolved = F.col("pub_target").isNotNull()
     name = F.coalesce("unresolved_target", "stored_name", "owner_file")
-    evidence = F.array(
-        F.struct(
-            F.struct(F.col("owner_file").alias("file"), F.col("line").alias("start_line"), F.col("line").alias("end_line")).alias("source"),
-            F.lit(CONTAINS_RULE).alias("rule_id"),
-        )
-    )
+
+    def at(line: Column) -> Column:
+        place = F.struct(F.col("owner_file").alias("file"), line.alias("start_line"), line.alias("end_line"))
+        return F.array(F.struct(place.alias("source"), F.lit(CONTAINS_RULE).alias("rule_id")))
+
+    if "evidence" in edges.columns:
+        given = F.size(F.coalesce("evidence", F.array())) > 0
+        evidence = F.when(given, F.col("evidence")).otherwise(at(F.lit(1).cast("long")))
+    else:
+        evidence = at(F.col("line"))
     shaped = joined.select(
+        F.col("id").alias("stored_id"),
+        "project_id",
         F.col("pub_source").alias("source_id"),
         F.col("pub_target").alias("target_id"),
         F.when(~resolved, name).alias("unresolved_target"),
@@ -71,7 +85,7 @@ def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
         .when(F.col("resolution") == "unresolved", "exact_static")
         .otherwise(F.col("resolution"))
         .alias("resolution"),
-        (F.col("evidence") if "evidence" in edges.columns else evidence).alias("evidence"),
+        evidence.alias("evidence"),
         "analyzer_id",
     ).where(resolved_or_named())
     with_id = shaped.withColumn(
@@ -80,9 +94,12 @@ def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
             F.col("source_id"), F.col("kind"), F.coalesce("target_id", "unresolved_target"), identity.evidence_key(F.col("evidence"))
         ),
     )
+    rest = [c for c in with_id.columns if c not in ("id", "stored_id")]
+    # whole rows break ties, so that equal stored ids leave nothing to chance
+    first = with_id.groupBy("id").agg(F.min(F.struct("stored_id", *rest)).alias("e"))
     return {
         "nodes": published.drop("id").withColumnRenamed("pub_id", "id"),
-        "edges": with_id.dropDuplicates(["id"]),
+        "edges": first.select(*(F.col(f"e.{c}") for c in rest), "id"),
         "keys": names,
     }
 
@@ -91,6 +108,18 @@ def resolved_or_named():
     return F.col("target_id").isNotNull() | (F.col("unresolved_target") != "")
 
 
+def publication_coverage(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """What a publication of each project covers: its input files, those indexed as desired, and published edges without a target."""
+    inputs = files.where("NOT deleted").groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("input_files"), F.count_if(F.col("indexed_generation") >= F.col("desired_generation")).alias("processed_files"))
+    open_ends = edges.where("unresolved_target is not null").groupBy("project_id").agg(F.count(F.lit(1)).alias("unresolved_references"))
+    complete = F.when(F.col("processed_files") == F.col("input_files"), "complete_for_profile").otherwise("partial")
+    return inputs.join(open_ends, "project_id", "left").select(
+        "project_id", complete.alias("status"), "input_files", "processed_files",
+        F.coalesce("unresolved_references", F.lit(0)).alias("unresolved_references"),
+    )
+
+
 def publish_order(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows in id order across partitions, without one global sort task."""
     ranged = df.repartitionByRange(partitions, "id") if partitions else df.repartitionByRange("id")
@@ -98,7 +127,9 @@ def publish_order(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
-    return edges.dropDuplicates(["id"])
+    """One row for each id: the smallest of its rows."""
+    rest = [c for c in edges.columns if c != "id"]
+    return edges.groupBy("id").agg(F.min(F.struct(*rest)).alias("e")).select(*("id" if c == "id" else F.col(f"e.{c}").alias(c) for c in edges.columns))
 
 
 def edge_locators(edges: DataFrame, shard_plan: DataFrame, complete: bool) -> dict[str, DataFrame]:

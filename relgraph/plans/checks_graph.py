@@ -167,32 +167,44 @@ def _(read):
 
 
 PUBLISHED = """
-WITH k AS (SELECT *, CASE kind WHEN 'namespace' THEN 'Namespace' WHEN 'class' THEN 'Class' WHEN 'interface' THEN 'Interface' WHEN 'method' THEN 'Method' WHEN 'function' THEN 'Function' WHEN 'variable' THEN 'Property' END AS ck FROM @nodes),
+WITH k AS (SELECT *, CASE kind WHEN 'namespace' THEN 'Namespace' WHEN 'class' THEN 'Class' WHEN 'interface' THEN 'Interface' WHEN 'method' THEN 'Method' WHEN 'function' THEN 'Function' WHEN 'variable' THEN 'Property' END AS ck FROM @shared_nodes),
 o AS (SELECT *, row_number() OVER (PARTITION BY project_id, language, ck, qualified_name ORDER BY owner_file, start_line, id) AS occ FROM k WHERE ck IS NOT NULL),
 p AS (SELECT *, qualified_name || CASE WHEN occ = 1 THEN '' ELSE '#' || occ END AS pkey FROM o),
 n AS (SELECT *, sha256('[' || to_json(project_id) || ',' || to_json(language) || ',' || to_json(ck) || ',' || to_json(pkey) || ']') AS pub FROM p)
 """
+PUBLISHED_EDGES = PUBLISHED + """
+, e AS (SELECT e.project_id, s.pub AS source_id, t.pub AS target_id, CASE WHEN t.pub IS NULL THEN coalesce(e.unresolved_target, x.qualified_name, e.owner_file) END AS unresolved_target, e.target_project_id,
+   CASE WHEN t.pub IS NULL THEN 'unresolved' WHEN resolution = 'unresolved' THEN 'exact_static' ELSE resolution END AS resolution, '[[' || to_json(e.owner_file) || ',' || line || ',' || line || ',"declaration-contains-v1"]]' AS ev
+   FROM @shared_edges e JOIN n s ON e.source_id = s.id AND e.project_id = s.project_id LEFT JOIN n t ON e.target_id = t.id AND e.target_project_id = t.project_id
+   LEFT JOIN @shared_nodes x ON e.target_id = x.id AND e.target_project_id = x.project_id WHERE e.kind = 'contains'),
+d AS (SELECT DISTINCT sha256('[' || to_json(source_id) || ',"CONTAINS",' || to_json(coalesce(target_id, unresolved_target)) || ',' || to_json(ev) || ']') AS id, project_id, source_id, target_id, unresolved_target, target_project_id, resolution FROM e)
+"""
 
 
-@query("w2_occurrence_suffix", PUBLISHED + "SELECT id, occ AS occurrence, pkey AS published_key FROM p")
+@query("w2_occurrence_suffix", PUBLISHED + "SELECT project_id, id, occ AS occurrence, pkey AS published_key FROM p")
 def _(read):
-    return publish.occurrence_suffix(read("nodes")).select("id", "occurrence", "published_key")
+    return publish.occurrence_suffix(read("shared_nodes")).select("project_id", "id", "occurrence", "published_key")
 
 
 @query("j16_published_nodes", PUBLISHED + "SELECT pub AS id, project_id, ck AS kind, name, pkey AS qualified_name, language, owner_file AS file, start_line FROM n")
 def _(read):
-    nodes = publish.publish_graph(read("nodes"), read("edges"))["nodes"]
+    nodes = publish.publish_graph(read("shared_nodes"), read("shared_edges"))["nodes"]
     return nodes.select("id", "project_id", "kind", "name", "qualified_name", "language", F.col("source.file").alias("file"), "source.start_line")
 
 
-@query("j16_published_edges", PUBLISHED + """
-, e AS (SELECT s.pub AS source_id, t.pub AS target_id, CASE WHEN t.pub IS NULL THEN coalesce(e.unresolved_target, x.qualified_name, e.owner_file) END AS unresolved_target, target_project_id,
-   CASE WHEN t.pub IS NULL THEN 'unresolved' WHEN resolution = 'unresolved' THEN 'exact_static' ELSE resolution END AS resolution, '[[' || to_json(e.owner_file) || ',' || line || ',' || line || ',"declaration-contains-v1"]]' AS ev
-   FROM @edges e JOIN n s ON e.source_id = s.id LEFT JOIN n t ON e.target_id = t.id LEFT JOIN @nodes x ON e.target_id = x.id WHERE e.kind = 'contains')
-SELECT DISTINCT sha256('[' || to_json(source_id) || ',"CONTAINS",' || to_json(coalesce(target_id, unresolved_target)) || ',' || to_json(ev) || ']') AS id, source_id, target_id, unresolved_target, target_project_id, resolution FROM e""")
+@query("j16_published_edges", PUBLISHED_EDGES + "SELECT * FROM d")
+def _(read):
+    edges = publish.publish_graph(read("shared_nodes"), read("shared_edges"))["edges"]
+    return edges.select("id", "project_id", "source_id", "target_id", "unresolved_target", "target_project_id", "resolution")
+
+
+@query("j16_publication_coverage", PUBLISHED_EDGES + """
+, f AS (SELECT project_id, count(*) AS input_files, count(*) FILTER (indexed_generation >= desired_generation) AS processed_files FROM @node_files GROUP BY 1),
+u AS (SELECT project_id, count(*) AS n FROM d WHERE unresolved_target IS NOT NULL GROUP BY 1)
+SELECT f.project_id, CASE WHEN processed_files = input_files THEN 'complete_for_profile' ELSE 'partial' END AS status, input_files, processed_files, coalesce(n, 0) AS unresolved_references FROM f LEFT JOIN u USING (project_id)""")
 def _(read):
-    edges = publish.publish_graph(read("nodes"), read("edges"))["edges"]
-    return edges.select("id", "source_id", "target_id", "unresolved_target", "target_project_id", "resolution")
+    edges = publish.publish_graph(read("shared_nodes"), read("shared_edges"))["edges"]
+    return publish.publication_coverage(edges, read("node_files"))
 
 
 @query("t3_publish_order", "SELECT id, row_number() OVER (ORDER BY id) AS position FROM @nodes")

@@ -223,24 +223,40 @@ def _(read):
     return inventory.audit_facts(read("dirty_facts"), read("dirty_edges"), max_nodes=80, max_edges=200)
 
 
-relation("projects", """SELECT DISTINCT project_id AS id, 'sol' || cast(length(project_id) % 3 AS string) AS solution_id FROM @nodes""")
-relation("owned_edges", """SELECT e.id, e.source_id, n.project_id AS owner_project, e.target_id FROM @edges e JOIN @nodes n ON e.source_id = n.id""")
+relation("projects", """SELECT DISTINCT project_id AS id, 'sol' || cast(length(project_id) % 3 AS string) AS solution_id FROM @shared_nodes""")
+relation("owned_edges", """SELECT id, project_id AS owner_project, CASE WHEN line % 7 = 0 THEN target_project_id ELSE project_id END AS source_project, source_id FROM @shared_edges""")
+relation("job_files", """SELECT j.id AS job_id, p.id AS project_id, j.id || '.cs' AS path FROM @jobs j JOIN @projects p ON length(j.id) % 5 = length(p.id) % 5""")
+relation("revisions", """SELECT 'r' || cast(n_nationkey AS string) AS id, 'sol' || cast(n_nationkey % 4 AS string) AS solution_id FROM $nation""")
+relation("outbox_rows", """SELECT 'o' || p.id || r.id AS id, p.id AS project_id, CASE WHEN length(p.id) > 5 THEN r.id END AS revision_id FROM @projects p JOIN @revisions r ON length(p.id) <> length(r.id)""")
 
 
 @query("u7_remove_solution", """
-WITH g AS (SELECT id FROM @projects WHERE solution_id = 'sol1')
-SELECT 'edges' AS part, id FROM @owned_edges WHERE owner_project NOT IN (SELECT id FROM g) AND source_id NOT IN (SELECT id FROM @nodes WHERE project_id IN (SELECT id FROM g))
-UNION ALL SELECT 'nodes', id FROM @nodes WHERE project_id NOT IN (SELECT id FROM g)
-UNION ALL SELECT 'files', path FROM @files WHERE project_id NOT IN (SELECT id FROM g)
+WITH g AS (SELECT id FROM @projects WHERE solution_id = 'sol1'), j AS (SELECT id FROM @jobs WHERE solution_id = 'sol1'), r AS (SELECT id FROM @revisions WHERE solution_id = 'sol1')
+SELECT 'edges' AS part, owner_project || id AS id FROM @owned_edges WHERE owner_project NOT IN (SELECT id FROM g) AND source_project NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'nodes', project_id || id FROM @shared_nodes WHERE project_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'files', project_id || path FROM @files WHERE project_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'dirty_files', project_id || path FROM @files WHERE desired_generation > indexed_generation AND project_id NOT IN (SELECT id FROM g)
+UNION ALL SELECT 'job_files', project_id || path FROM @job_files WHERE project_id NOT IN (SELECT id FROM g) AND job_id NOT IN (SELECT id FROM j)
+UNION ALL SELECT 'job_attempts', id FROM @jobs WHERE solution_id <> 'sol1'
+UNION ALL SELECT 'publish_outbox', id FROM @outbox_rows WHERE project_id NOT IN (SELECT id FROM g) AND (revision_id IS NULL OR revision_id NOT IN (SELECT id FROM r))
+UNION ALL SELECT t, id FROM (SELECT unnest(['catalog_refs', 'published_generations', 'projects']) AS t, id FROM @projects WHERE solution_id <> 'sol1')
+UNION ALL SELECT t, id FROM (SELECT unnest(['graph_revisions', 'runtime_checkpoints']) AS t, id FROM @revisions WHERE solution_id <> 'sol1')
 UNION ALL SELECT 'jobs', id FROM @jobs WHERE solution_id <> 'sol1'
-UNION ALL SELECT 'projects', id FROM @projects WHERE solution_id <> 'sol1'""")
+UNION ALL SELECT 'solutions', id FROM (SELECT DISTINCT solution_id AS id FROM @projects) WHERE id <> 'sol1'""")
 def _(read):
-    tables = {"projects": read("projects"), "nodes": read("nodes"), "edges": read("owned_edges"), "files": read("files"), "jobs": read("jobs")}
+    projects, files = read("projects"), read("files")
+    owned = projects.withColumn("project_id", F.col("id"))
+    tables = {
+        "projects": projects, "nodes": read("shared_nodes"), "edges": read("owned_edges"), "files": files, "jobs": read("jobs"),
+        "dirty_files": files.where("desired_generation > indexed_generation"), "job_files": read("job_files"),
+        "job_attempts": read("jobs").withColumn("job_id", F.col("id")), "catalog_refs": owned, "published_generations": owned,
+        "publish_outbox": read("outbox_rows"), "graph_revisions": read("revisions"), "runtime_checkpoints": read("revisions"),
+        "solutions": projects.select(F.col("solution_id").alias("id")).distinct(),
+    }
+    shown = {"files": ["project_id", "path"], "dirty_files": ["project_id", "path"], "job_files": ["project_id", "path"],
+             "nodes": ["project_id", "id"], "edges": ["owner_project", "id"]}
     left = inventory.remove_solution(tables, "sol1")
-    named = {"files": "path"}
-    return snapshots.union_shards(
-        [left[t].select(F.lit(t).alias("part"), F.col(named.get(t, "id")).alias("id")) for t in ("edges", "nodes", "files", "jobs", "projects")]
-    )
+    return snapshots.union_shards([df.select(F.lit(t).alias("part"), F.concat(*shown.get(t, ["id"])).alias("id")) for t, df in left.items()])
 
 
 @query("w1_occurrence_keys", """

@@ -100,6 +100,17 @@ SELECT 'e5:' || cast(l_suppkey AS string) || '-' || cast(l_partkey AS string),
 FROM (SELECT DISTINCT l_suppkey, l_partkey FROM $lineitem) l JOIN $supplier ON l_suppkey = s_suppkey""", stored=True)
 
 # The published form of the graph: what the bounded queries read.
+# Two projects more that hold the same files, ids and names as two others.
+relation("shared_nodes", """
+SELECT * FROM @nodes UNION ALL
+SELECT id, 'twin-' || project_id, owner_file, kind, name, qualified_name, language, start_line, end_line FROM @nodes WHERE project_id IN ('geo', 'crm0')""", stored=True)
+
+relation("shared_edges", """
+SELECT e.id, n.project_id, e.owner_file, source_id, target_id, unresolved_target, target_project_id, e.kind, resolution, analyzer_id, line FROM @edges e JOIN @nodes n ON e.source_id = n.id
+UNION ALL
+SELECT e.id, 'twin-' || n.project_id, e.owner_file, source_id, target_id, unresolved_target, CASE WHEN target_project_id IN ('geo', 'crm0') THEN 'twin-' || target_project_id ELSE target_project_id END,
+       e.kind, resolution, analyzer_id, line FROM @edges e JOIN @nodes n ON e.source_id = n.id WHERE n.project_id IN ('geo', 'crm0')""", stored=True)
+
 relation("pub_nodes", """
 SELECT id, project_id, CASE kind WHEN 'namespace' THEN 'Namespace' WHEN 'interface' THEN 'Interface'
          WHEN 'variable' THEN 'Property' WHEN 'method' THEN 'Method' WHEN 'function' THEN 'Function'
