@@ -111,7 +111,8 @@ def _csharp_names(line: Column) -> dict[str, Column]:
     }
 
 
-def _csharp_lines(files: DataFrame) -> DataFrame:
+def csharp_lines(files: DataFrame) -> DataFrame:
+    """Classified lines of C# files, from which declarations and diagnostics are read."""
     return _coded(files, _csharp_heads, _csharp_names).withColumn(
         "kind",
         F.when(F.col("namespace").isNotNull(), "namespace")
@@ -120,10 +121,10 @@ def _csharp_lines(files: DataFrame) -> DataFrame:
     ).withColumn("name", F.coalesce("namespace", "type_name", "method"))
 
 
-def csharp_declarations(files: DataFrame) -> DataFrame:
-    """Namespaces, types and methods with their enclosing path and stable key."""
+def csharp_declarations(files: DataFrame, coded: DataFrame | None = None) -> DataFrame:
+    """Namespaces, types and methods with their enclosing path and stable key. ``coded``: ``csharp_lines`` where they are at hand."""
     text = F.col("text")
-    coded = _csharp_lines(files)
+    coded = csharp_lines(files) if coded is None else coded
     file_scoped = (F.col("kind") == "namespace") & text.endswith(";")
     is_scope = F.col("kind").isNotNull() & (F.col("kind") != "method") & ~file_scoped
     waiting = F.when(is_scope & ~_opens(text), F.col("name"))
@@ -150,9 +151,9 @@ def csharp_declarations(files: DataFrame) -> DataFrame:
     ).select(*FILE, "line", "column", "kind", "name", "semantic_path", "base_key", "occurrence", "key", F.col("text").alias("header"))
 
 
-def csharp_diagnostics(files: DataFrame) -> DataFrame:
+def csharp_diagnostics(files: DataFrame, coded: DataFrame | None = None) -> DataFrame:
     """Type keywords without a name, unbalanced braces, files without a namespace."""
-    coded = _csharp_lines(files)
+    coded = csharp_lines(files) if coded is None else coded
     nameless = coded.where(F.col("hit").isNotNull() & F.col("type_name").isNull()).select(
         *FILE, "line", F.lit("csharp-missing-name").alias("code"), F.lit("error").alias("severity")
     )
@@ -207,9 +208,14 @@ def _ts_shape(body: Column, plain: Column) -> Column:
     )
 
 
-def typescript_declarations(files: DataFrame) -> DataFrame:
+def typescript_lines(files: DataFrame) -> DataFrame:
+    """Classified lines of TypeScript files, from which declarations and diagnostics are read."""
+    return _coded(files, lambda line: {"hit": _ts_classified(line["text"])})
+
+
+def typescript_declarations(files: DataFrame, coded: DataFrame | None = None) -> DataFrame:
     """Top-level and nested declarations; a nameless one is keyed by its ordinal in the file."""
-    coded = _coded(files, lambda line: {"hit": _ts_classified(line["text"])})
+    coded = typescript_lines(files) if coded is None else coded
     unnamed = F.coalesce(F.col("hit.quality") != "explicit", F.lit(False)).cast("int")
     marked = (
         coded.withColumn("is_decl", F.col("hit").isNotNull())
@@ -231,8 +237,8 @@ def typescript_declarations(files: DataFrame) -> DataFrame:
     )
 
 
-def typescript_diagnostics(files: DataFrame) -> DataFrame:
-    depth = _coded(files).groupBy(*FILE).agg(F.sum("delta").alias("depth"))
+def typescript_diagnostics(files: DataFrame, coded: DataFrame | None = None) -> DataFrame:
+    depth = (_coded(files) if coded is None else coded).groupBy(*FILE).agg(F.sum("delta").alias("depth"))
     return depth.where(F.col("depth") != 0).select(
         *FILE, F.lit("typescript-unbalanced-braces").alias("code"), F.lit("error").alias("severity")
     )

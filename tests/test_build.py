@@ -65,3 +65,58 @@ def test_deleted_and_reappeared(spark, tmp_path):
     assert all(n[0] == "b.cs" for n in state(spark, root)[0])
     build.cycle(corpus(spark, files), root)
     assert state(spark, root) == first
+
+
+def corpora(spark, projects):
+    df = spark.createDataFrame([(p, path, text) for p, files in projects.items() for path, text in files.items()], "project string, path string, content string")
+    return df.withColumn("content_hash", F.sha2("content", 256))
+
+
+def test_two_projects_with_the_same_files(spark, tmp_path):
+    files = {"a.cs": klass("A1"), "b.ts": "export class T {\n  let x = 1;\n}\n"}
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    build.cycle(corpus(spark, files), one)
+    build.cycle(corpora(spark, {"p": files, "q": files}), two)
+    single, both = build.published(spark, one), build.published(spark, two)
+    mine = both["edges"].where("project_id = 'p'")
+    assert rows(mine, "id", "source_id", "target_id") == rows(single["edges"], "id", "source_id", "target_id")
+    assert both["edges"].count() == 2 * single["edges"].count() and both["nodes"].count() == 2 * single["nodes"].count()
+    ends = both["edges"].join(both["nodes"].selectExpr("id AS target_id", "project_id AS owner"), "target_id")
+    assert ends.count() == both["edges"].count() and ends.where("owner <> project_id").count() == 0
+    build.cycle(corpora(spark, {"p": files, "q": {"b.ts": files["b.ts"]}}), two)
+    assert build.live_facts(spark, two)["nodes"].where("project_id = 'q' AND owner_file = 'a.cs'").count() == 0
+    assert build.live_facts(spark, two)["nodes"].where("project_id = 'p' AND owner_file = 'a.cs'").count() > 0
+
+
+def tree(root):
+    return sorted(str(p) for p in root.rglob("*"))
+
+
+def test_delta_log_and_compaction(spark, tmp_path):
+    root, files = tmp_path / "s", {f"f{i}.cs": klass(f"C{i}") for i in range(8)}
+    build.cycle(corpus(spark, files), str(root), compact_every=3)
+    before = tree(root)
+    assert build.cycle(corpus(spark, files), str(root))["generation"] == 1 and tree(root) == before
+    files["f3.cs"] = klass("D3")
+    build.cycle(corpus(spark, files), str(root), compact_every=3)
+    delta = spark.read.parquet(f"{root}/files/generation=2")
+    assert rows(delta, "path", "indexed_generation") == [("f3.cs", 2)]
+    assert spark.read.parquet(f"{root}/nodes/generation=2").select("owner_file").distinct().count() == 1
+    del files["f5.cs"]
+    files["f9.cs"] = klass("C9") + "{"
+    got = build.cycle(corpus(spark, files), str(root), compact_every=3)  # a tombstone, a file that stays dirty, and a new base
+    assert got["errors"] == 1 and build.latest_commit(spark, str(root)) == (3, 3)
+    files["f9.cs"] = klass("C9")
+    assert build.cycle(corpus(spark, files), str(root))["analysed"] == 1
+    whole = tmp_path / "whole"
+    build.cycle(corpus(spark, files), str(whole))
+    assert state(spark, str(root)) == state(spark, str(whole))
+    kept = state(spark, str(root))
+    assert build.compact(spark, str(root)) == 4 and state(spark, str(root)) == kept
+    assert build.cycle(corpus(spark, files), str(root))["dirty"] == 0
+
+
+def test_a_path_seen_twice_fails_the_cycle(spark, tmp_path):
+    twice = corpus(spark, {"a.cs": klass("A1")})
+    with pytest.raises(ValueError, match="duplicate-inventory-path"):
+        build.cycle(twice.unionByName(twice), str(tmp_path / "s"))
