@@ -9,12 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from relgraph.llm.blocks import meet_blocks
 from relgraph.llm.common import FOLDED, flat, lean, mix, rows_out, slices, stored, text_bytes, words, Spans
 from relgraph.llm.components import components
 
 WORDS = 16  # 64-bit words of a bitmap
+_SHARED = "shared"  # the cell of components without leaves of their own
 _SET = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())])
 _PIECE = 1 << 20  # bytes of text hashed at once
 
@@ -137,8 +138,8 @@ def _entries(width: int, share: int, largest: int, shares: int):
 
 
 def _roots(share: int):
-    """Members of roots with company: ``root, id, n, lead`` where lead is the root's first member."""
-    schema = pa.schema([("root", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("lead", pa.int64()), ("members", pa.int32())])
+    """Members of roots with company: ``root, doc_id``."""
+    schema = pa.schema([("root", pa.int64()), ("doc_id", pa.int64())])
 
     def joined(rows):
         key, who, size, own = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate((np.uint64, np.int64, np.int32, bool)))
@@ -151,7 +152,7 @@ def _roots(share: int):
         count = np.diff(np.append(first, len(key)))
         # two members of the next class meet under that class's own roots
         keep = (count[run_of] > 1) & own[first][run_of]
-        return rows_out(schema, key[keep].view(np.int64), who[keep], size[keep], who[first][run_of][keep], count[run_of][keep])
+        return rows_out(schema, key[keep].view(np.int64), who[keep])
 
     def run(batches):
         at, rows = None, []
@@ -165,28 +166,7 @@ def _roots(share: int):
         if rows:
             yield joined(rows)
 
-    return run, "root long, doc_id long, n int, lead long, members int"
-
-
-def _verify(width: int, share: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for half in slices(batch, "text_a", _PIECE):
-                for part in slices(half, "text_b", _PIECE):
-                    va, ra = shingle_sets(part.column("text_a"), width)
-                    vb, rb = shingle_sets(part.column("text_b"), width)
-                    value, row = np.concatenate([va, vb]), np.concatenate([ra, rb])
-                    order = np.lexsort((value, row))
-                    value, row = value[order], row[order]
-                    same = (value[1:] == value[:-1]) & (row[1:] == row[:-1])
-                    shared = np.bincount(row[1:][same], minlength=part.num_rows)
-                    union = np.bincount(row, minlength=part.num_rows) - shared
-                    linked = pa.array(100 * shared >= share * union)
-                    yield rows_out(schema, part.column("a").filter(linked), part.column("b").filter(linked))
-
-    return run, "a long, b long"
+    return run, "root long, doc_id long"
 
 
 def _signatures(width: int):
@@ -225,37 +205,69 @@ def _nodes(members: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def traverse(members: DataFrame, share: int, fan: int = 16) -> DataFrame:
-    """Pairs (``a, b``) of sets of one tree, in different components, that the trees can't rule out.
+def _items(width: int):
+    """The set of each text as bytes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", _PIECE):
+                value, row = shingle_sets(part.column("text"), width)
+                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+                yield rows_out(schema, part.column("doc_id"), [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+
+    return run, "doc_id long, items binary"
+
 
-    ``members``: tree, doc_id, comp, n, lo, hi, slack and bitmap words. In a tree, sets hang
-    by band of sizes, then by component and dealt into nodes of about ``fan``.
-    Traversal pairs bands, then nodes of open band pairs, then their sets; a pair of
-    nodes is closed when sizes or bits leave no room for a link, or when both hold
-    one and the same component.
+def traverse(members: DataFrame, texts: DataFrame, width: int, share: int, fan: int = 64, first: bool = False) -> DataFrame:
+    """Links (``a, b``) between sets of one tree that are in different components, as many as join these.
+
+    ``members``: tree, doc_id, comp, n, lo, hi, slack and bitmap words; ``texts``: doc_id, text.
+    In a tree, sets hang by band of sizes, then in leaves of about ``fan``; a component with
+    as many sets has leaves of its own, all others share leaves. Traversal pairs bands,
+    then the leaves of open band pairs; a pair of leaves is closed when sizes or bits leave no
+    room for a link, or when both hold one and the same component. What is left
+    of them is compared leaf against leaf, by the sets themselves (``meet_blocks``), so a
+    group of near copies costs a row for each pair of leaves, not of sets. With ``first``,
+    only each leaf with itself and with the first open leaf of its tree: linear in the sets, and enough
+    to make most of a group of near copies one component, which needs no comparison with itself in a whole traversal.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share)).cast("int")  # linked sets: one band or two next to each other
     sets = members.withColumn("band", band)
-    count = sets.groupBy("tree", "comp", "band").agg(F.ceil(F.count("*") / fan).alias("dealt"))
-    sets = stored(sets.join(count, ["tree", "comp", "band"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets")
-    nodes = stored(_nodes(sets, "tree", "band", "comp", "node"), "nodes")
+    large = sets.groupBy("tree", "band", "comp").agg(F.count("*").alias("k")).where(f"k >= {fan}")
+    sets = sets.join(large.select("tree", "band", "comp", F.col("comp").cast("string").alias("own")), ["tree", "band", "comp"], "left")
+    sets = sets.withColumn("cell", F.coalesce("own", F.lit(_SHARED))).drop("own")
+    count = sets.groupBy("tree", "band", "cell").agg(F.ceil(F.count("*") / fan).alias("dealt"))
+    sets = stored(sets.join(count, ["tree", "band", "cell"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets")
+    leaf = ["tree", "band", "cell", "node"]
+    nodes = stored(_nodes(sets, *leaf), "nodes")
     bands = stored(_nodes(nodes, "tree", "band"), "bands")
     x, y = bands.alias("x"), bands.alias("y")
     open_bands = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.band") <= F.col("y.band")) & _bound(share)).select(
         "x.tree", F.col("x.band").alias("band"), F.col("y.band").alias("to_band")
     )
     x, y = nodes.join(open_bands, ["tree", "band"]).alias("x"), nodes.alias("y")
-    met = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.to_band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp"))
-    ordered = (F.col("x.band") < F.col("y.band")) | (F.col("x.comp") < F.col("y.comp"))
-    open_nodes = x.join(y, met & ordered & _bound(share)).select(
-        "x.tree", "x.band", "x.comp", "x.node", *(F.col(f"y.{c}").alias(f"to_{c}") for c in ("band", "comp", "node"))
-    )
-    x, y = sets.join(open_nodes, ["tree", "band", "comp", "node"]).alias("x"), sets.alias("y")
     met = (F.col("x.tree") == F.col("y.tree")) & (F.col("x.to_band") == F.col("y.band"))
-    met = met & (F.col("x.to_comp") == F.col("y.comp")) & (F.col("x.to_node") == F.col("y.node")) & _bound(share)
-    return x.join(y, met).select(
-        F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")
-    ).distinct()
+    differ = (F.col("x.cell") != F.col("y.cell")) | (F.col("x.cell") == _SHARED)
+    once = (F.col("x.band") < F.col("y.band")) | (F.struct("x.cell", "x.node") <= F.struct("y.cell", "y.node"))
+    if first:
+        place = F.struct("band", "cell", "node")
+        y = nodes.join(nodes.groupBy("tree", "band").agg(F.min(place).alias("head")), ["tree", "band"]).alias("y")
+        of_x, of_y = (F.struct(*(f"{side}.{c}" for c in leaf[1:])) for side in "xy")
+        once = (of_x == of_y) | (F.col("y.head") == of_y)
+    open_nodes = stored(x.join(y, met & differ & once & _bound(share)).select(
+        *(f"x.{c}" for c in leaf), *(F.col(f"y.{c}").alias(f"to_{c}") for c in leaf[1:])
+    ), "open_nodes")
+    # only the leaves of open pairs need their sets
+    used = open_nodes.select(*leaf).unionByName(open_nodes.select("tree", *(F.col(f"to_{c}").alias(c) for c in leaf[1:]))).distinct()
+    held = sets.select(*leaf, "doc_id", "comp").join(used, leaf)
+    run, schema = _items(width)
+    items = stored(texts.join(held.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(run, schema), "items")
+    blocks = held.join(items, "doc_id").groupBy(*leaf).agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "items")).alias("x"))
+    blocks = stored(blocks, "leaves")
+    there = blocks.select("tree", *(F.col(c).alias(f"to_{c}") for c in leaf[1:]), F.col("x").alias("y"))
+    run, schema = meet_blocks(share)
+    return open_nodes.join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])]).select("x", "y").mapInArrow(run, schema).distinct()
 
 
 def _trees(sets: DataFrame) -> DataFrame:
@@ -274,7 +286,7 @@ def _trees(sets: DataFrame) -> DataFrame:
     return sets.join(grown, "doc_id").join(chosen, "grove").select(tree, "doc_id", "comp").distinct()
 
 
-def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text", rounds: int = 2,
+def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text",
                        part_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -285,11 +297,11 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     The roots come from the sets themselves: linked sets of one size class differ in
     at most d shingles, so of d + 1 hashed parts of both sets one is equal; a set
     hangs under a root for each of its parts. Nearly all roots hold one set and go.
-    Under the others, each set is first compared with one set of its root, in
-    ``rounds`` with another one each. What this links is one component. Trees that
-    still hold several are traversed in pairs of nodes under OR-ed bitmaps and size
-    ranges (``traverse``), and what stays open is compared exactly. So a group of thousands of near copies costs a
-    comparison per copy, and no link between different components is left out.
+    Roots that share sets are one tree. The trees are traversed twice, in pairs of nodes under OR-ed
+    bitmaps and size ranges, and the leaves that stay open are compared by their sets: first each
+    leaf with itself and the first one, then, with what this links as components, all leaves that
+    hold different ones (``traverse``). So a group of thousands of near copies costs a few
+    comparisons per copy, and no link between different components is left out.
 
     Null and empty texts have no shingles and stay alone. Null ids are alone too,
     with a null component. Repeated rows are returned as often as they come; where
@@ -310,50 +322,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     members = entries.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
     alias = reps.join(cards.where("doc_id is not null"), key).select("doc_id", "rep").distinct()
     members = stored(members, "members")
-    named = members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id"), "lead")
-    leads = alias.select(F.col("doc_id").alias("lead"), F.col("rep").alias("lead_rep"))
-    named = stored(named.join(leads, "lead").select("root", "doc_id", F.col("lead_rep").alias("lead")).distinct(), "named")
+    named = stored(members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id")).distinct(), "named")
+    several = named.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
+    named = stored(named.join(several, "root"), "several")
     ids = named.select("doc_id").distinct()
     texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
     run, schema = _signatures(width)
     drawn = stored(texts.mapInArrow(run, schema).withColumns({"lo": F.col("n"), "hi": F.col("n")}), "signatures")
-    links = tried = None
-    open_sets = named.select("root", "doc_id", "lead", F.col("doc_id").alias("comp"))
-    for k in range(rounds):
-        # a further round takes another member of each root that still holds several components
-        lead = F.col("lead") if k == 0 else F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).over(Window.partitionBy("root"))
-        met = open_sets.withColumn("lead", lead)
-        if k:
-            met = met.join(open_sets.select("root", F.col("doc_id").alias("lead"), F.col("comp").alias("lead_comp")), ["root", "lead"]).where("comp <> lead_comp")
-        pairs = met.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = stored(_compare(pairs, drawn, texts, width, share), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        groups = stored(components(links), "groups")
-        placed = named.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-        mixed = placed.groupBy("root").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("k")).where("c1 < c2 and k > 2")
-        open_sets = stored(placed.join(mixed.select("root"), "root").select("root", "doc_id", "lead", "comp").distinct(), "open")
-        if fresh.isEmpty():
-            break
-    if not open_sets.isEmpty():
-        hung = _trees(open_sets.select("root", "doc_id", "comp").distinct()).join(drawn, "doc_id")
-        open_pairs = traverse(hung, share).join(tried, ["a", "b"], "left_anti")
-        more = stored(_compare(stored(open_pairs, "rest"), drawn, texts, width, share), "more")
-        if not more.isEmpty():
-            groups = stored(components(links.unionByName(more)), "groups")
+    hung = stored(_trees(named.select("root", "doc_id", F.col("doc_id").alias("comp"))).join(drawn, "doc_id"), "hung")
+    links = stored(traverse(hung, texts, width, share, first=True), "links")
+    groups = stored(components(links), "groups")
+    placed = hung.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = placed.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    mixed = placed.groupBy("tree").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tree")
+    more = stored(traverse(placed.join(mixed, "tree"), texts, width, share), "more")
+    groups = stored(components(links.unionByName(more)), "groups")
     found = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     return cards.join(found, key, "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
-
-
-def _compare(pairs: DataFrame, drawn: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
-    """The pairs that link: leaves of the trees first, by size and bits, then the sets themselves."""
-    run, schema = _verify(width, share)
-    x, y = drawn.alias("x"), drawn.alias("y")
-    near = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id")).where(_bound(share)).select("a", "b")
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    met = near.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm.common import lean, mix, rows_out, slices, stored
+from relgraph.llm.blocks import meet_blocks, unpack_sets
 from relgraph.llm.components import components
 from relgraph.llm.jaccard import shingle_sets
 
 _PIECE = 1 << 20  # bytes of text hashed at once
+_REST = "rest"  # the cell of components without blocks of their own
 _RUN = 1 << 17  # shingles whose minima are taken at once
 
 
@@ -75,12 +77,6 @@ def _sets(width: int):
     return run, "doc_id long, set_a long, set_b long, items binary"
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Items of all sets, and the set of each."""
-    value = np.frombuffer(b"".join(blobs), np.uint64)
-    return value, np.repeat(np.arange(len(blobs)), [len(b) // 8 for b in blobs])
-
-
 def _confirm(share: int):
     """The pairs of sets that link, by the sets themselves."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -89,7 +85,7 @@ def _confirm(share: int):
         for batch in batches:
             for half in slices(batch, "items_a", _PIECE):
                 for part in slices(half, "items_b", _PIECE):
-                    (va, ra), (vb, rb) = (_unpack(part.column(c).to_pylist()) for c in ("items_a", "items_b"))
+                    (va, ra), (vb, rb) = (unpack_sets(part.column(c).to_pylist()) for c in ("items_a", "items_b"))
                     value, row = np.concatenate([va, vb]), np.concatenate([ra, rb])
                     order = np.lexsort((value, row))
                     value, row = value[order], row[order]
@@ -100,54 +96,6 @@ def _confirm(share: int):
     return run, "a long, b long"
 
 
-def common_items(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """How many items each set on the left has in common with each on the right: a product of 0/1 matrices, some columns at a time."""
-    (va, ra), (vb, rb) = _unpack(left), _unpack(right)
-    shared = np.intersect1d(va, vb)
-    out = np.zeros((len(left), len(right)), np.int64)
-
-    def entries(value, row):
-        at = np.searchsorted(shared, value)
-        here = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == value) if len(shared) else np.zeros(len(value), bool)
-        at, row = at[here], row[here]
-        order = np.argsort(at, kind="stable")
-        return at[order], row[order]
-
-    (ca, ra), (cb, rb) = entries(va, ra), entries(vb, rb)
-    for lo in range(0, len(shared), _COLUMNS):
-        width = min(_COLUMNS, len(shared) - lo)
-        grids = []
-        for column, row, size in ((ca, ra, len(left)), (cb, rb, len(right))):
-            grid = np.zeros((size, width), np.float32)
-            a, b = np.searchsorted(column, (lo, lo + width))
-            grid[row[a:b], column[a:b] - lo] = 1
-            grids.append(grid)
-        out += (grids[0] @ grids[1].T).astype(np.int64)  # below 2^24, so exact
-    return out
-
-
-_COLUMNS = 4096
-_REST = "rest"  # the cell of components without blocks of their own
-
-
-def _meet(share: int):
-    """Links between two blocks, one for each two components that they join."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                x, y = batch.column("x")[k].as_py(), batch.column("y")[k].as_py()
-                both = common_items([m["items"] for m in x], [m["items"] for m in y])
-                nx, ny = (np.array([len(m["items"]) // 8 for m in side]) for side in (x, y))
-                cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
-                i, j = np.nonzero((100 * both >= share * (nx[:, None] + ny - both)) & (cx[:, None] != cy))
-                _, one = np.unique(np.stack([cx[i], cy[j]]), axis=1, return_index=True)
-                yield rows_out(schema, [x[r]["rep"] for r in i[one]], [y[r]["rep"] for r in j[one]])
-
-    return run, "a long, b long"
-
-
 def tables(reps: DataFrame, keys: int) -> DataFrame:
     """``rep, n, key``: the table keys of sets that can meet another one.
 
@@ -250,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, share: int = 85, keys: int
     here = ["lead", "band", "cell", "block"]
     there = blocks.select("lead", *(F.col(c).alias(f"to_{c}") for c in here[1:]), F.col("members").alias("y"))
     joined = both.join(blocks.withColumnRenamed("members", "x"), here).join(there, ["lead", "to_band", "to_cell", "to_block"])
-    run, schema = _meet(share)
+    run, schema = meet_blocks(share)
     more = stored(joined.select("x", "y").mapInArrow(run, schema), "more")
     links = links.unionByName(more.distinct())
     groups = stored(components(links), "groups").withColumnRenamed("node", "rep")

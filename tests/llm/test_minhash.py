@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from relgraph.llm import minhash
+from relgraph.llm import blocks, minhash
 
 R = random.Random(13)
 VOCABULARY = ["".join(R.choice("abcdefgh") for _ in range(R.randrange(2, 7))) for _ in range(400)]
@@ -88,9 +88,9 @@ def test_empty(spark):
 
 
 def test_common_items(monkeypatch):
-    monkeypatch.setattr(minhash, "_COLUMNS", 7)
+    monkeypatch.setattr(blocks, "_COLUMNS", 7)
     sets = [np.unique(np.array([R.randrange(60) for _ in range(R.randrange(30))], np.uint64)) for _ in range(40)]
-    got = minhash.common_items([s.tobytes() for s in sets[:25]], [s.tobytes() for s in sets[25:]])
+    got = blocks.common_items([s.tobytes() for s in sets[:25]], [s.tobytes() for s in sets[25:]])
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[25:]] for a in sets[:25]]
 
 
@@ -100,3 +100,26 @@ def test_half_keys_over_runs(monkeypatch):
     whole = minhash.half_keys(value, row, 30, 4, 3)
     monkeypatch.setattr(minhash, "_RUN", 11)
     assert (minhash.half_keys(value, row, 30, 4, 3) == whole).all()
+
+
+def test_links_come_from_the_trees(spark, monkeypatch):
+    """Of a set of near copies, the traversals give the links; without them every set stays alone."""
+    from relgraph.llm import jaccard
+
+    base = prose(120)
+    rows = [(k, edited(base, k % 4)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components(rows, 85)
+    found, traverse = [], jaccard.traverse
+
+    def counted(*args, **kwargs):
+        out = traverse(*args, **kwargs)
+        found.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "traverse", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, 3, 85).collect()}
+    assert got == want and found[0] > 80 and len({c for _, c in want.values()}) < 20
+    monkeypatch.setattr(jaccard, "traverse", lambda *a, **k: traverse(*a, **k).limit(0))
+    alone = {r.component_id for r in jaccard.jaccard_components(docs, 3, 85).collect()}
+    assert len(alone) == len({t for _, t in rows})
