@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from relgraph.llm.common import stored
@@ -17,12 +17,12 @@ def components(edges: DataFrame) -> DataFrame:
     plain exchanges, which Spark can split where a hub makes one partition large.
     Null ends and self-links are ignored; an empty table gives no rows.
     """
-    links = stored(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"
+    links, now = _counted(
+        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
-    before, now = None, _print(links)
+    before = None
     while now != before:
-        both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
         # large star: larger neighbours of a node hang on its smallest neighbour
         large = both.join(lowest, "a").where("b > a and b <> low").select(F.col("low").alias("a"), "b").distinct()
@@ -31,15 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.col("b").alias("node"), F.col("a").alias("other"))
         low = stored(down.groupBy("node").agg(F.min("other").alias("low")), "low")
         hung = down.join(low, "node")
-        links = stored(
+        before = now
+        links, now = _counted(
             hung.select(F.col("low").alias("a"), F.col("other").alias("b")).where("a <> b")
-            .unionByName(low.select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct(),
-            "links",
+            .unionByName(low.select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
         )
-        before, now = now, _print(links)
     ends = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return ends.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def _print(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _counted(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """The links as written, with their number and a sum of their hashes, taken while they are written."""
+    seen = Observation()
+    said = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hashes")]
+    kept = stored(links.observe(seen, *said), "links")
+    return kept, (seen.get["n"], seen.get["hashes"])
