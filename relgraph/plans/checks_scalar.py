@@ -293,7 +293,7 @@ def _(read):
 
 
 relation("folded_paths", """
-SELECT project, path, doc_id FROM @corpus WHERE doc_id % 2 = 0
+SELECT project, path, doc_id FROM @corpus
 UNION ALL SELECT project, upper(path), doc_id FROM @corpus WHERE doc_id % 6 = 0
 UNION ALL SELECT project, path, doc_id FROM @corpus WHERE doc_id % 10 = 0
 UNION ALL SELECT project, path || 'é', doc_id FROM @corpus WHERE doc_id % 15 = 1

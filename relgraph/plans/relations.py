@@ -253,7 +253,7 @@ relation("annotations", """
 SELECT o_orderkey AS ordinal, 'customer:' || cast(o_custkey AS string) AS from_id, 'part:' || cast(o_orderkey % 400 AS string) AS to_id,
        CASE WHEN o_orderkey % 5 = 0 THEN 'WRITES' WHEN o_orderkey % 3 = 0 THEN 'CALLS' ELSE 'READS' END AS relation,
        o_orderpriority AS source, 'v' || cast(o_orderkey % 3 AS string) AS version
-FROM $orders WHERE o_orderkey % 4 <> 1""")
+FROM $orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 16 <> 8""")
 
 relation("generations", """
 SELECT 'proj' || cast(c_nationkey AS string) AS project_id, sha2(c_name, 256) AS generation_id,
@@ -275,7 +275,7 @@ UNION ALL SELECT generation_id, 'extra/' || path, sha256, bytes, records FROM @m
 relation("staged", """
 SELECT project AS repo, path, CASE doc_id % 3 WHEN 0 THEN 'R' WHEN 1 THEN 'M' ELSE 'A' END AS status FROM @corpus WHERE doc_id % 2 = 0""")
 relation("unstaged", """SELECT project AS repo, path, 'M' AS status FROM @corpus WHERE doc_id % 3 = 0""")
-relation("untracked", """SELECT project AS repo, path, '?' AS status FROM @corpus WHERE doc_id % 5 = 1""")
+relation("untracked", """SELECT project AS repo, path, '?' AS status FROM @corpus WHERE doc_id % 5 = 1 OR (doc_id % 2 <> 0 AND doc_id % 3 <> 0)""")
 relation("parents", """SELECT DISTINCT project AS repo, cast(cast(substr(project, 4) AS bigint) % 3 AS bigint) AS parents FROM @corpus""")
 
 relation("decls", """
