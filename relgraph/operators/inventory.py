@@ -144,37 +144,36 @@ def inventory_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def ordered_digest(df: DataFrame, group: list[str], columns: list[str], flat_limit: int = 100_000) -> DataFrame:
-    """sha256 over a group's rows as ``col US col LF`` lines in order.
+def digest_leaves(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """``group, at, rows, leaf``: the different rows of a group by the first six digits of their hashes.
 
-    A group of up to ``flat_limit`` rows is digested as one text. A larger one is cut
-    into buckets by the hash of its rows, about ``flat_limit / 4`` rows each; every bucket
-    is digested the same way and the group's digest is taken over ``bucket US digest LF``
-    lines. ``scheme`` says which; equal row sets always give equal digests.
+    A row's hash is sha256 of its ``col US col LF`` line; a leaf is sha256 of its rows' hashes in
+    order. Leaves can be stored: after a change, only those of changed rows differ.
     """
     unit, end = F.lit("\x1f"), F.lit("\n")
     parts = [p for i, c in enumerate(columns) for p in ([unit] if i else []) + [F.col(c).cast("string")]]
-    lines = df.select(*group, F.concat(*parts, end).alias("line")).distinct()
-    sizes = lines.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"))
-    per_bucket = max(1, flat_limit // 4)
-    buckets = F.when(F.col("rows") <= flat_limit, F.lit(1)).otherwise(F.ceil(F.col("rows") / per_bucket))
-    sized = lines.join(sizes, group).withColumn("buckets", buckets.cast("long"))
-    placed = sized.withColumn(
-        "bucket", F.when(F.col("buckets") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("line"), F.col("buckets")))
-    )
-    text = lambda column: F.array_join(F.array_sort(F.collect_list(column)), "")
-    leaves = placed.groupBy(*group, "rows", "buckets", "bucket").agg(F.sha2(text("line"), 256).alias("leaf"))
-    width = F.lpad(F.col("bucket").cast("string"), 12, "0")
-    top = leaves.groupBy(*group, "rows", "buckets").agg(
-        F.min("leaf").alias("only"),
-        F.sha2(text(F.concat(width, unit, F.col("leaf"), end)), 256).alias("tree"),
-    )
-    return top.select(
-        *group,
-        "rows",
-        F.when(F.col("buckets") == 1, "flat").otherwise("tree").alias("scheme"),
-        F.when(F.col("buckets") == 1, F.col("only")).otherwise(F.col("tree")).alias("digest"),
-    )
+    hashes = df.select(*group, F.sha2(F.concat(*parts, end), 256).alias("h")).distinct()
+    found = hashes.groupBy(*group, F.substring("h", 1, 6).alias("at"))
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("leaf"))
+
+
+def digest_of(leaves: DataFrame, group: list[str]) -> DataFrame:
+    """``group, rows, digest`` of stored leaves: a tree of fixed shape, whatever the size of a group.
+
+    A node is sha256 over ``place:digest LF`` lines of at most 4,096 children, first of
+    leaves that share three digits, then of these nodes.
+    """
+    def level(df: DataFrame, value: str, *by) -> DataFrame:
+        said = F.array_join(F.array_sort(F.collect_list(F.concat("at", F.lit(":"), F.col(value), F.lit("\n")))), "")
+        return df.groupBy(*group, *by).agg(F.sum("rows").alias("rows"), F.sha2(said, 256).alias("digest"))
+
+    middle = level(leaves, "leaf", F.substring("at", 1, 3).alias("top")).withColumnRenamed("top", "at")
+    return level(middle, "digest").select(*group, "rows", "digest")
+
+
+def ordered_digest(df: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """``group, rows, digest`` over a group's different rows; equal row sets give equal digests (``digest_leaves``, ``digest_of``)."""
+    return digest_of(digest_leaves(df, group, columns), group)
 
 
 def export_signatures(exports: DataFrame) -> DataFrame:

@@ -88,7 +88,10 @@ def _(read):
 
 
 @query("a12_inventory_digest", """
-SELECT project_id, count(*) AS rows, 'flat' AS scheme, sha256(string_agg(path || chr(31) || content_hash || chr(10), '' ORDER BY path || chr(31) || content_hash || chr(10))) AS digest FROM @observed GROUP BY project_id""")
+WITH l AS (SELECT DISTINCT project_id, sha256(path || chr(31) || content_hash || chr(10)) AS h FROM @observed),
+f AS (SELECT project_id, substr(h, 1, 6) AS place, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS leaf FROM l GROUP BY 1, 2),
+m AS (SELECT project_id, substr(place, 1, 3) AS top, sum(n) AS n, sha256(string_agg(place || ':' || leaf || chr(10), '' ORDER BY place)) AS mid FROM f GROUP BY 1, 2)
+SELECT project_id, cast(sum(n) AS bigint) AS rows, sha256(string_agg(top || ':' || mid || chr(10), '' ORDER BY top)) AS digest FROM m GROUP BY 1""")
 def _(read):
     return inventory.ordered_digest(read("observed"), ["project_id"], ["path", "content_hash"])
 

@@ -219,7 +219,10 @@ relation("catalog_members", """SELECT 'sol' || cast(k % 3 AS string) AS solution
 
 
 @query("s9_catalog", """
-SELECT solution_id, count(*) AS members, 'flat' AS scheme, sha256(string_agg(project_id || chr(31) || generation_id || chr(31) || source_fingerprint || chr(10), '' ORDER BY project_id)) AS catalog_id FROM @catalog_members GROUP BY solution_id""")
+WITH l AS (SELECT DISTINCT solution_id, sha256(project_id || chr(31) || generation_id || chr(31) || source_fingerprint || chr(10)) AS h FROM @catalog_members),
+f AS (SELECT solution_id, substr(h, 1, 6) AS place, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS leaf FROM l GROUP BY 1, 2),
+m AS (SELECT solution_id, substr(place, 1, 3) AS top, sum(n) AS n, sha256(string_agg(place || ':' || leaf || chr(10), '' ORDER BY place)) AS mid FROM f GROUP BY 1, 2)
+SELECT solution_id, cast(sum(n) AS bigint) AS members, sha256(string_agg(top || ':' || mid || chr(10), '' ORDER BY top)) AS catalog_id FROM m GROUP BY 1""")
 def _(read):
     return snapshots.catalog_id(read("catalog_members"))["catalogs"]
 

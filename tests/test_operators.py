@@ -110,9 +110,13 @@ def test_range_chunks_keep_order_and_ties(spark):
 def test_tree_digest_depends_only_on_the_set(spark):
     data = [("p", f"f{i}", f"h{i}") for i in range(500)]
     df = spark.createDataFrame(data, "project_id string, path string, content_hash string")
-    digest = lambda d: rows(inventory.ordered_digest(d, ["project_id"], ["path", "content_hash"], flat_limit=40))
-    assert digest(df.repartition(1)) == digest(df.repartition(6).orderBy(F.rand(1)))
-    assert digest(df)[0][2] == "tree"
+    group, columns = ["project_id"], ["path", "content_hash"]
+    digest = lambda d: rows(inventory.ordered_digest(d, group, columns))
+    assert digest(df.repartition(1)) == digest(df.repartition(6).orderBy(F.rand(1))) == digest(df.unionByName(df))
+    # stored leaves: only those of a changed row differ, and the digest is that of all rows
+    other = df.withColumn("content_hash", F.when(F.col("path") == "f7", "new").otherwise(F.col("content_hash")))
+    before, after = (inventory.digest_leaves(d, group, columns) for d in (df, other))
+    assert before.exceptAll(after).count() <= 2 and rows(inventory.digest_of(after, group)) == digest(other)
     assert digest(df) != digest(df.where("path <> 'f7'"))
 
 
