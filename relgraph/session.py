@@ -27,6 +27,9 @@ def local_session(app: str = "relgraph", cores: int | None = None, partitions: i
     return spark
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
@@ -39,9 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="relgraph-checkpoints-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    # the setting can't be changed in a running session, so the folder is kept here
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="relgraph-checkpoints-")
+    return _local_folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
