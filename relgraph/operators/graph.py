@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from relgraph.session import cut
+from relgraph.session import cut, scratch
 
 ENVELOPE_RESERVE_BYTES = 1024
 
@@ -32,52 +34,54 @@ class SymbolNotFound(LookupError):
 
 
 def node_document(nodes: DataFrame) -> DataFrame:
-    body = F.to_json(
-        F.struct(
-            "id", "kind", "language", "name", "project_id", "qualified_name",
-            F.struct("end_line", "file", "start_line").alias("source"),
-        )
+    """Nodes as records; their JSON text is made by ``body``, of the rows an answer keeps."""
+    fields = F.struct(
+        "id", "kind", "language", "name", "project_id", "qualified_name",
+        F.struct("end_line", "file", "start_line").alias("source"),
     )
     return nodes.select(
         F.lit(0).alias("role"), "id", F.coalesce("qualified_name", "name").alias("readable"),
-        F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("to_id"),
-        F.lit("node").alias("record_kind"), body.alias("body"),
+        F.lit("node").alias("record_kind"), fields.alias("node"),
     )
 
 
 def edge_document(edges: DataFrame) -> DataFrame:
-    body = F.to_json(
-        F.struct(
-            "analyzer_id",
-            F.array(F.struct(F.lit("declaration-contains-v1").alias("rule_id"),
-                             F.struct("end_line", "file", "start_line").alias("source"))).alias("evidence")
-            if "evidence" not in edges.columns else F.col("evidence"),
-            "id", "kind", "resolution", "source_id", "target_id", "target_project_id", "unresolved_target",
-        )
+    """Edges as records, with both ends beside the fields of their JSON text."""
+    fields = F.struct(
+        "analyzer_id",
+        F.array(F.struct(F.lit("declaration-contains-v1").alias("rule_id"),
+                         F.struct("end_line", "file", "start_line").alias("source"))).alias("evidence")
+        if "evidence" not in edges.columns else F.col("evidence"),
+        "id", "kind", "resolution", "source_id", "target_id", "target_project_id", "unresolved_target",
     )
     return edges.select(
-        F.lit(1).alias("role"), "id", F.lit(None).cast("string").alias("readable"), "source_id",
-        F.coalesce("target_id", "unresolved_target").alias("to_id"), F.lit("edge").alias("record_kind"),
-        body.alias("body"),
+        F.lit(1).alias("role"), "id", "source_id", F.coalesce("target_id", "unresolved_target").alias("to_id"),
+        F.lit("edge").alias("record_kind"), fields.alias("edge"),
     )
 
 
 def documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes and edges as records in published order: (role, id)."""
-    return node_document(nodes).unionByName(edge_document(edges))
+    """Nodes and edges as records; the published order is (role, id)."""
+    return node_document(nodes).unionByName(edge_document(edges), allowMissingColumns=True)
+
+
+def body() -> Column:
+    """The JSON text of a record of ``documents``."""
+    return F.when(F.col("role") == 0, F.to_json("node")).otherwise(F.to_json("edge"))
 
 
 def apply_budget(candidates: DataFrame, order: list[str], limits: Limits) -> dict[str, DataFrame]:
     """The leading records that fit, and an envelope that says what was left out.
 
-    Only ``max_nodes + 1`` candidates, at most 4097, are ever sorted into one place;
-    the rest is counted.
+    Only ``max_nodes + 1`` candidates, at most 4097, are ever sorted into one place
+    and written as JSON; the rest is counted.
     """
     usable = candidates.where(F.col("id").isNotNull())
     text = F.to_json(F.struct(F.col("id").alias("key"), F.col("record_kind").alias("kind")))
     # {"key":..,"kind":..} plus ,"body": and the body, which is already JSON
     length = F.octet_length(text) + F.octet_length("body") + len(',"body":')
-    head = cut(usable.withColumn("length", length.cast("long")).orderBy(*order).limit(limits.max_nodes + 1))
+    first = usable.orderBy(*order).limit(limits.max_nodes + 1)
+    head = cut(first.withColumn("body", body()).drop("node", "edge").withColumn("length", length.cast("long")))
     everything = W.partitionBy(F.lit(0)).orderBy(*order)
     sized = (
         head.withColumn("rn", F.row_number().over(everything))
@@ -114,24 +118,18 @@ def apply_budget(candidates: DataFrame, order: list[str], limits: Limits) -> dic
 def context_candidates(nodes: DataFrame, edges: DataFrame, symbol: str) -> DataFrame:
     """Records the symbol names, then the edges that touch one of them; one hop, whatever the depth."""
     every = documents(nodes, edges)
-    named = (
-        (F.col("id") == symbol)
-        | (F.col("readable") == symbol)
-        | F.array_contains(F.split(F.col("id"), ":"), symbol)
-    )
+    named = (F.col("id") == symbol) | (F.col("readable") == symbol) | F.array_contains(F.split("id", ":"), symbol)
     named = F.coalesce(named, F.lit(False))
-    seeds = (
-        every.where(named).select(F.explode(F.array("id", "readable")).alias("seed")).where(F.col("seed").isNotNull()).distinct()
-    )
-    # two joins on one column each; an OR of two equalities would not be a hash join
-    from_seed = seeds.select(F.col("seed").alias("source_id"), F.lit(True).alias("_from"))
-    to_seed = seeds.select(F.col("seed").alias("to_id"), F.lit(True).alias("_to"))
-    return (
-        every.join(from_seed, "source_id", "left")
-        .join(to_seed, "to_id", "left")
-        .where(named | F.col("_from").isNotNull() | F.col("_to").isNotNull())
-        .select(F.when(named, 0).otherwise(1).alias("phase"), *every.columns)
+    hits = cut(every.where(named).withColumn("phase", F.lit(0)))
+    seeds = hits.select(F.explode(F.array("id", "readable")).alias("end")).where(F.col("end").isNotNull()).distinct()
+    # one posting for each end of an edge, one semi-join; an edge with both ends among the seeds counts once
+    postings = (
+        edge_document(edges).where(~F.coalesce(F.array_contains(F.split("id", ":"), symbol) | (F.col("id") == symbol), F.lit(False)))
+        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("end", F.explode(F.array_distinct(F.array("source_id", "to_id"))))
     )
+    touching = postings.join(seeds, "end", "left_semi").dropDuplicates(["_row"]).drop("_row", "end")
+    return cut(hits.unionByName(touching.withColumn("phase", F.lit(1)), allowMissingColumns=True))
 
 
 def context(nodes: DataFrame, edges: DataFrame, symbol: str, limits: Limits = Limits()) -> dict[str, DataFrame]:
@@ -147,15 +145,61 @@ def _roots(spark: SparkSession, ids: list[str]) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
+#: Steps of one id that one task holds in ``adjacency``; an id with more is a hub and gets several slices.
+HUB_STEPS = 100_000
+
+
+@contextmanager
+def adjacency(steps: DataFrame, hub_steps: int = HUB_STEPS):
+    """Steps stored in buckets by ``from_id`` while the block runs, and the hubs among the ids.
+
+    The steps are shuffled once, to be written. A join with the stored table moves the
+    other side only. ``hubs(from_id, slices)`` has at most one row for each ``hub_steps``
+    steps, and is None without any; with hubs the buckets are by ``(from_id, slice)``.
+    """
+    spark = steps.sparkSession
+    stored = steps.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull())
+    degree = stored.groupBy("from_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_steps)
+    hubs = cut(degree.select("from_id", F.ceil(F.col("n") / hub_steps).cast("int").alias("slices")))
+    keys = ["from_id"]
+    if hubs.isEmpty():
+        hubs = None
+    else:
+        part = F.pmod(F.xxhash64("to_id"), F.coalesce("slices", F.lit(1))).cast("int")
+        stored = stored.join(hubs, "from_id", "left").withColumn("slice", part).drop("slices")
+        keys = ["from_id", "slice"]
+    name = f"steps_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = stored.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
+    with scratch(spark, name) as path:
+        writer.option("path", path).saveAsTable(name)
+        try:
+            yield spark.table(name), hubs
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _hop(stored: DataFrame, hubs: DataFrame | None, level: DataFrame) -> DataFrame:
+    """The steps out of a level."""
+    frontier = level.withColumnRenamed("id", "from_id")
+    if hubs is None:
+        return stored.join(frontier, "from_id")
+    parts = F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)
+    sliced = frontier.join(hubs, "from_id", "left").withColumn("slice", F.explode(parts))
+    return stored.join(sliced, ["from_id", "slice"])
+
+
 def reach(
-    steps: DataFrame, roots: DataFrame, max_depth: int | None = None, with_path: bool = False
+    steps: DataFrame, roots: DataFrame, max_depth: int | None = None, with_path: bool = False, hub_steps: int = HUB_STEPS
 ) -> DataFrame:
     """``(id, depth[, path])`` of everything reachable over ``steps(from_id, to_id[, edge])``, roots at 0.
 
-    One join per level; each level is written to the checkpoint folder, so a lost
+    The steps are stored once in buckets (``adjacency``); after that one join per level
+    moves the frontier alone. Each level is written to the checkpoint folder, so a lost
     executor costs at most that level and the plan does not grow with the depth.
     With ``with_path`` the edge keys of the first-discovered path are kept, which
-    orders nodes of one level as a queue would have found them.
+    orders nodes of one level as a queue would have found them. Steps with a null end
+    lead nowhere.
     """
     start = roots.select("id").distinct().withColumn("depth", F.lit(0))
     if with_path:
@@ -163,19 +207,19 @@ def reach(
     level = cut(start)
     seen = level
     depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        hop = steps.join(level.withColumnRenamed("id", "from_id"), "from_id")
-        fresh = hop.where(F.col("to_id").isNotNull()).groupBy(F.col("to_id").alias("id"))
-        if with_path:
-            found = fresh.agg(F.min(F.concat("path", F.array("edge"))).alias("path"))
-        else:
-            found = fresh.agg(F.lit(depth).alias("depth"))
-        found = found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
-        level = cut(found.select(*seen.columns))
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level)
+    with adjacency(steps, hub_steps) as (stored, hubs):
+        while max_depth is None or depth < max_depth:
+            depth += 1
+            fresh = _hop(stored, hubs, level).groupBy(F.col("to_id").alias("id"))
+            if with_path:
+                found = fresh.agg(F.min(F.concat("path", F.array("edge"))).alias("path"))
+            else:
+                found = fresh.agg(F.lit(depth).alias("depth"))
+            found = found.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
+            level = cut(found.select(*seen.columns))
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
     return seen
 
 
@@ -249,11 +293,12 @@ def impact_candidates(nodes: DataFrame, edges: DataFrame, reached: DataFrame) ->
         .agg(F.min(F.struct("_d", "_p")).alias("_at"), *[F.first(c).alias(c) for c in columns if c != "id"])
     )
     return out_edges.select(
-        F.lit(0).alias("phase"), F.lit(0).alias("level"), nothing.alias("found"), *columns
+        F.lit(0).alias("phase"), F.lit(0).alias("level"), nothing.alias("found"), *out_edges.columns
     ).unionByName(
         nodes_in_order.select(
             F.lit(1).alias("phase"), F.col("_at._d").alias("level"), F.col("_at._p").alias("found"), *columns
-        )
+        ),
+        allowMissingColumns=True,
     )
 
 

@@ -132,9 +132,10 @@ def _(read):
 
 
 @query("p8_exact_projection", """
-WITH s AS (SELECT id FROM @selection), e AS (SELECT id FROM @edges WHERE source_id IN (SELECT id FROM s) AND target_id IN (SELECT id FROM s))
-SELECT 'edge' AS part, id FROM e WHERE id LIKE 'e3:%'
-UNION ALL SELECT 'missing edge', id FROM @edges WHERE id LIKE 'e3:%' AND id NOT IN (SELECT id FROM e)""")
+WITH s AS MATERIALIZED (SELECT DISTINCT id FROM @selection), w AS MATERIALIZED (SELECT id, source_id, target_id FROM @edges WHERE id LIKE 'e3:%'),
+k AS MATERIALIZED (SELECT w.id FROM w JOIN s a ON a.id = w.source_id JOIN s b ON b.id = w.target_id)
+SELECT 'edge' AS part, id FROM k
+UNION ALL SELECT 'missing edge', w.id FROM w LEFT JOIN k ON k.id = w.id WHERE k.id IS NULL""")
 def _(read):
     wanted = read("edges").where("id LIKE 'e3:%'").select("id")
     out = graph.project_graph(read("nodes"), read("edges"), read("selection"), wanted, exact=True)

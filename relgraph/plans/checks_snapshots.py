@@ -237,7 +237,7 @@ SELECT role, bucket, key, cast(part AS bigint) AS part, 'bucket-' || lpad(cast(b
 UNION ALL SELECT role, bucket, key, NULL, NULL, cast(n AS bigint) FROM k WHERE n > 4000""")
 def _(read):
     records = graph.documents(read("pub_nodes"), read("pub_edges")).select(
-        F.when(F.col("role") == 0, "nodes").otherwise("edges").alias("role"), F.col("id").alias("key"), F.col("body").alias("line"))
+        F.when(F.col("role") == 0, "nodes").otherwise("edges").alias("role"), F.col("id").alias("key"), graph.body().alias("line"))
     texts = read("documents").select(F.lit("texts").alias("role"), F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("line"))
     packed = packing.pack_shards(records.unionByName(texts), 4000, 512, by=["role"])  # many texts are over the cap
     return packed["plan"].select("role", "bucket", "key", "part", "shard", "bytes").unionByName(packed["too_large"], allowMissingColumns=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A path in the shared folder for a table that is read inside the block only, and removed after it."""
+    path = f"{shared_dir(spark)}/relgraph-scratch/{name}"
+    try:
+        yield path
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage there."""
     spark = df.sparkSession

@@ -1,5 +1,6 @@
 """Operators against brute force, plus their refusals and invariants."""
 
+import os
 import random
 from collections import deque
 
@@ -244,3 +245,29 @@ def test_a_later_annotation_sees_an_earlier_one(spark):
     out = resolve.merge_annotations(facts, notes)
     assert rows(out["edges"], "from_id", "relation", "annotations") == [("a", "CALLS", 2)]
     assert rows(out["contradictions"], "ordinal", "generated_relation", "generated_pattern") == [(2, "CALLS", "generated")]
+
+
+@pytest.mark.parametrize("hub_steps", [1, 3, 1000])
+def test_reach_splits_hubs(spark, hub_steps):
+    steps = [("hub", f"n{k}") for k in range(40)] + [(f"n{k}", f"m{k % 5}") for k in range(40)] + [("m1", "hub"), (None, "x"), ("m2", None), ("hub", "n1")]
+    frame = spark.createDataFrame(steps, "from_id string, to_id string")
+    roots = spark.createDataFrame([("hub",), ("absent",)], "id string")
+    got = {(r.id, r.depth) for r in graph.reach(frame, roots, hub_steps=hub_steps).collect()}
+    assert got == {("hub", 0), ("absent", 0)} | {(f"n{k}", 1) for k in range(40)} | {(f"m{k}", 2) for k in range(5)}
+
+
+def test_stored_steps_move_the_frontier_only_and_are_removed(spark, tmp_path):
+    frame = spark.createDataFrame([(f"a{k}", f"b{k}") for k in range(50)], "from_id string, to_id string")
+    level = spark.createDataFrame([("a1", 0)], "id string, depth int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with graph.adjacency(frame) as (stored, hubs):
+            hop = graph._hop(stored, hubs, level)
+            plan = hop._jdf.queryExecution().sparkPlan().toString() + hop._jdf.queryExecution().executedPlan().toString()
+            assert hubs is None and hop.count() == 1
+            assert plan.count("Exchange hashpartitioning") == 1
+            name, path = stored.inputFiles()[0].rsplit("/", 2)[1], stored.inputFiles()[0].rsplit("/", 1)[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not spark.catalog.tableExists(name) and not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
