@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from relgraph.llm.blocks import meet_blocks
 from relgraph.llm.common import FOLDED, flat, lean, mix, rows_out, slices, stored, text_bytes, words, Spans
 from relgraph.llm.components import components
+from relgraph.session import scratch
 
 WORDS = 16  # 64-bit words of a bitmap
 _SHARED = "shared"  # the cell of components without leaves of their own
@@ -206,17 +208,20 @@ def _nodes(members: DataFrame, *by: str) -> DataFrame:
 
 
 def _items(width: int):
-    """The set of each text as bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("items", pa.binary())])
+    """The set of each text as bytes, beside the leaf that it lies in."""
+    schema = pa.schema([("tree", pa.int64()), ("band", pa.int32()), ("cell", pa.string()), ("node", pa.int64()),
+                        ("doc_id", pa.int64()), ("comp", pa.int64()), ("items", pa.binary())])
+    before = schema.names[:-1]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", _PIECE):
                 value, row = shingle_sets(part.column("text"), width)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                yield rows_out(schema, part.column("doc_id"), [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
+                items = [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield rows_out(schema, *(part.column(c) for c in before), items)
 
-    return run, "doc_id long, items binary"
+    return run, "tree long, band int, cell string, node long, doc_id long, comp long, items binary"
 
 
 def traverse(members: DataFrame, texts: DataFrame, width: int, share: int, fan: int = 64, first: bool = False) -> DataFrame:
@@ -231,17 +236,23 @@ def traverse(members: DataFrame, texts: DataFrame, width: int, share: int, fan:
     group of near copies costs a row for each pair of leaves, not of sets. With ``first``,
     only each leaf with itself and with the first open leaf of its tree: linear in the sets, and enough
     to make most of a group of near copies one component, which needs no comparison with itself in a whole traversal.
+    What it writes is removed when the links are.
     """
+    with scratch(members.sparkSession, uuid.uuid4().hex) as folder:
+        return _links(members, texts, width, share, fan, first, folder)
+
+
+def _links(members: DataFrame, texts: DataFrame, width: int, share: int, fan: int, first: bool, folder: str) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / share)).cast("int")  # linked sets: one band or two next to each other
     sets = members.withColumn("band", band)
     large = sets.groupBy("tree", "band", "comp").agg(F.count("*").alias("k")).where(f"k >= {fan}")
     sets = sets.join(large.select("tree", "band", "comp", F.col("comp").cast("string").alias("own")), ["tree", "band", "comp"], "left")
     sets = sets.withColumn("cell", F.coalesce("own", F.lit(_SHARED))).drop("own")
     count = sets.groupBy("tree", "band", "cell").agg(F.ceil(F.count("*") / fan).alias("dealt"))
-    sets = stored(sets.join(count, ["tree", "band", "cell"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets")
+    sets = stored(sets.join(count, ["tree", "band", "cell"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets", folder)
     leaf = ["tree", "band", "cell", "node"]
-    nodes = stored(_nodes(sets, *leaf), "nodes")
-    bands = stored(_nodes(nodes, "tree", "band"), "bands")
+    nodes = stored(_nodes(sets, *leaf), "nodes", folder)
+    bands = stored(_nodes(nodes, "tree", "band"), "bands", folder)
     x, y = bands.alias("x"), bands.alias("y")
     open_bands = x.join(y, (F.col("x.tree") == F.col("y.tree")) & (F.col("x.band") <= F.col("y.band")) & _bound(share)).select(
         "x.tree", F.col("x.band").alias("band"), F.col("y.band").alias("to_band")
@@ -257,17 +268,18 @@ def traverse(members: DataFrame, texts: DataFrame, width: int, share: int, fan:
         once = (of_x == of_y) | (F.col("y.head") == of_y)
     open_nodes = stored(x.join(y, met & differ & once & _bound(share)).select(
         *(f"x.{c}" for c in leaf), *(F.col(f"y.{c}").alias(f"to_{c}") for c in leaf[1:])
-    ), "open_nodes")
+    ), "open_nodes", folder)
     # only the leaves of open pairs need their sets
     used = open_nodes.select(*leaf).unionByName(open_nodes.select("tree", *(F.col(f"to_{c}").alias(c) for c in leaf[1:]))).distinct()
     held = sets.select(*leaf, "doc_id", "comp").join(used, leaf)
     run, schema = _items(width)
-    items = stored(texts.join(held.select("doc_id").distinct().hint("merge"), "doc_id").mapInArrow(run, schema), "items")
-    blocks = held.join(items, "doc_id").groupBy(*leaf).agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "items")).alias("x"))
-    blocks = stored(blocks, "leaves")
+    lying = held.join(texts.hint("merge"), "doc_id").select(*leaf, "doc_id", "comp", "text")
+    blocks = lying.mapInArrow(run, schema).groupBy(*leaf).agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "items")).alias("x"))
+    blocks = stored(blocks, "leaves", folder)
     there = blocks.select("tree", *(F.col(c).alias(f"to_{c}") for c in leaf[1:]), F.col("x").alias("y"))
     run, schema = meet_blocks(share)
-    return open_nodes.join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])]).select("x", "y").mapInArrow(run, schema).distinct()
+    pairs = open_nodes.join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])])
+    return stored(pairs.select("x", "y").mapInArrow(run, schema).distinct(), "links")
 
 
 def _trees(sets: DataFrame) -> DataFrame:
@@ -286,6 +298,34 @@ def _trees(sets: DataFrame) -> DataFrame:
     return sets.join(grown, "doc_id").join(chosen, "grove").select(tree, "doc_id", "comp").distinct()
 
 
+def _groups(whole: DataFrame, cards: DataFrame, reps: DataFrame, width: int, share: int, part_bytes: int, folder: str) -> DataFrame:
+    """Components (``node, component``) of the sets that are linked; what else it writes lies in ``folder``."""
+    key = ["n_shingles", "set_a", "set_b"]
+    largest = reps.agg(F.max("n_shingles")).first()[0] or 1
+    shares = max(1, -(-text_bytes(whole) * 3 // 4 // part_bytes))
+    run, schema = _entries(width, share, largest, shares)
+    entries = whole.where("doc_id is not null").mapInArrow(run, schema)
+    run, schema = _roots(share)
+    members = entries.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
+    alias = reps.join(cards.where("doc_id is not null"), key).select("doc_id", "rep").distinct()
+    members = stored(members, "members", folder)
+    named = stored(members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id")).distinct(), "named", folder)
+    several = named.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
+    named = stored(named.join(several, "root"), "several", folder)
+    ids = named.select("doc_id").distinct()
+    texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", folder)
+    run, schema = _signatures(width)
+    drawn = stored(texts.mapInArrow(run, schema).withColumns({"lo": F.col("n"), "hi": F.col("n")}), "signatures", folder)
+    hung = stored(_trees(named.select("root", "doc_id", F.col("doc_id").alias("comp"))).join(drawn, "doc_id"), "hung", folder)
+    links = traverse(hung, texts, width, share, first=True)
+    groups = stored(components(links), "groups")
+    placed = hung.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    placed = placed.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    mixed = placed.groupBy("tree").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tree")
+    more = traverse(placed.join(mixed, "tree"), texts, width, share)
+    return stored(components(links.unionByName(more)), "groups")
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: str = "text",
                        part_bytes: int = 12 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
@@ -314,29 +354,8 @@ def jaccard_components(docs: DataFrame, width: int = 3, share: int = 90, text: s
     reps = stored(
         cards.where("doc_id is not null and n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "reps"
     )
-    largest = reps.agg(F.max("n_shingles")).first()[0] or 1
-    shares = max(1, -(-text_bytes(whole) * 3 // 4 // part_bytes))
-    run, schema = _entries(width, share, largest, shares)
-    entries = whole.where("doc_id is not null").mapInArrow(run, schema)
-    run, schema = _roots(share)
-    members = entries.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
-    alias = reps.join(cards.where("doc_id is not null"), key).select("doc_id", "rep").distinct()
-    members = stored(members, "members")
-    named = stored(members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id")).distinct(), "named")
-    several = named.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
-    named = stored(named.join(several, "root"), "several")
-    ids = named.select("doc_id").distinct()
-    texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    run, schema = _signatures(width)
-    drawn = stored(texts.mapInArrow(run, schema).withColumns({"lo": F.col("n"), "hi": F.col("n")}), "signatures")
-    hung = stored(_trees(named.select("root", "doc_id", F.col("doc_id").alias("comp"))).join(drawn, "doc_id"), "hung")
-    links = stored(traverse(hung, texts, width, share, first=True), "links")
-    groups = stored(components(links), "groups")
-    placed = hung.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    placed = placed.withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    mixed = placed.groupBy("tree").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("tree")
-    more = stored(traverse(placed.join(mixed, "tree"), texts, width, share), "more")
-    groups = stored(components(links.unionByName(more)), "groups")
+    with scratch(docs.sparkSession, uuid.uuid4().hex) as folder:
+        groups = _groups(whole, cards, reps, width, share, part_bytes, folder)
     found = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
     return cards.join(found, key, "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
