@@ -63,7 +63,7 @@ SELECT 'part:' || cast(p_partkey AS string), 'catalog', 'catalog/' || p_brand ||
        p_name, 'Catalog.' || p_name, 'typescript', p_partkey + 1, p_partkey + 1 FROM $part
 UNION ALL
 SELECT 'supplier:' || cast(s_suppkey AS string), 'supply', 'supply/' || cast(s_nationkey AS string) || '.cs', 'class',
-       s_name, 'Supply.' || s_name, 'csharp', s_suppkey + 1, s_suppkey + 4 FROM $supplier""", stored=True)
+       s_name, 'Supply.' || s_name, 'csharp', s_suppkey + 1, s_suppkey + 4 FROM $supplier""")
 
 relation("edges", """
 SELECT 'e1:' || cast(n_nationkey AS string) AS id, 'geo/regions.cs' AS owner_file,
@@ -103,7 +103,7 @@ FROM (SELECT DISTINCT l_suppkey, l_partkey FROM $lineitem) l JOIN $supplier ON l
 # Two projects more that hold the same files, ids and names as two others.
 relation("shared_nodes", """
 SELECT * FROM @nodes UNION ALL
-SELECT id, 'twin-' || project_id, owner_file, kind, name, qualified_name, language, start_line, end_line FROM @nodes WHERE project_id IN ('geo', 'crm0')""", stored=True)
+SELECT id, 'twin-' || project_id, owner_file, kind, name, qualified_name, language, start_line, end_line FROM @nodes WHERE project_id IN ('geo', 'crm0')""")
 
 relation("shared_edges", """
 SELECT e.id, n.project_id, e.owner_file, source_id, target_id, unresolved_target, target_project_id, e.kind, resolution, analyzer_id, line FROM @edges e JOIN @nodes n ON e.source_id = n.id
@@ -116,14 +116,14 @@ SELECT id, project_id, CASE kind WHEN 'namespace' THEN 'Namespace' WHEN 'interfa
          WHEN 'variable' THEN 'Property' WHEN 'method' THEN 'Method' WHEN 'function' THEN 'Function'
          WHEN 'unmapped-kind' THEN 'Widget' ELSE 'Class' END AS kind,
        name, qualified_name, language, owner_file AS file, start_line, end_line
-FROM @nodes""", stored=True)
+FROM @nodes""")
 
 relation("pub_edges", """
 SELECT id, CASE WHEN id LIKE 'e4:%' OR id LIKE 'e3:%' THEN 'crm0' WHEN id LIKE 'e5:%' THEN 'supply' ELSE 'geo' END AS project_id,
        source_id, target_id, unresolved_target, target_project_id,
        CASE kind WHEN 'contains' THEN 'CONTAINS' WHEN 'references' THEN 'References' ELSE 'CALLS' END AS kind,
        resolution, analyzer_id, owner_file AS file, line AS start_line, line AS end_line
-FROM @edges""", stored=True)
+FROM @edges""")
 
 relation("deps", """SELECT coalesce(target_id, unresolved_target) AS target, source_id AS dependent FROM @edges""")
 
@@ -317,7 +317,7 @@ SELECT 'orders' AS project, 'src/o' || cast(o_orderkey AS string) || '.cs' AS pa
          || '  public class Inner<T> where T : class {' || chr(10) || '    void Deep() { var q = "DELETE FROM [dbo].[D' || cast(o_custkey AS string) || ']"; }' || chr(10)
          || '  }' || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '}' ELSE '' END || chr(10) END AS content,
        o_orderkey, o_custkey, o_orderstatus
-FROM $orders""", stored=True)
+FROM $orders""")
 
 relation("ts_source", """
 SELECT 'orders' AS project, 'web/o' || cast(o_orderkey AS string) || '.ts' AS path,
@@ -328,4 +328,4 @@ SELECT 'orders' AS project, 'web/o' || cast(o_orderkey AS string) || '.ts' AS pa
        || 'class P' || cast(o_orderkey AS string) || ' extends Q' || o_orderstatus || ' implements W' || cast(o_orderkey AS string) || ', IKeyed {' || chr(10)
        || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE '}' || chr(10) END || 'type Id = string;' || chr(10) AS content,
        o_orderkey, o_custkey, o_orderstatus
-FROM $orders""", stored=True)
+FROM $orders""")
