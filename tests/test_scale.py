@@ -36,3 +36,36 @@ def test_projections_are_not_stored_and_stored_rows_lie_in_pieces(spark, sf_dir,
     monkeypatch.setattr(registry, "_written", {})
     stored = registry.rows(spark, sf_dir, "npm_source")
     assert len(stored.inputFiles()) == 5 and stored.count() == 200
+
+
+def test_references_of_equal_edges_and_of_ids_in_two_projects(spark):
+    nodes = spark.createDataFrame(
+        [("t", "p", "N.T"), ("u", "p", "N.T"), ("t", "q", "N.T"), ("s", "p", "S"), ("s", "q", "S"), ("v", "p", "V"), ("w", "p", None), ("w", "p", None)],
+        "id string, project_id string, qualified_name string")
+    edge = "id string, source_id string, kind string, resolution string, target_id string, unresolved_target string, target_project_id string"
+    edges = spark.createDataFrame(
+        [("1", "s", "c", "r", "t", None, "p"), ("1", "s", "c", "r", "t", None, "q"), ("2", "s", "c", "r", None, "N.T", "p"), ("2", "s", "c", "r", None, "N.T", "p"),
+         ("3", "s", "c", "r", "v", "V", "p"), ("4", "v", "c", "r", "w", "N.T", "p"), ("5", "x", "c", "r", "t", None, "p"), ("6", "s", None, None, "u", "N.T", "p")], edge)
+    files = spark.createDataFrame([("p", 1, 0), ("q", 1, 0)], "project_id string, total_files long, pending_files long")
+    targets = spark.createDataFrame([(i,) for i in "tuvw"], "id string")
+    got = graph.incoming_references(nodes, edges, files, targets)["references"].select(
+        "node_id", "edge_id", "source_id", "kind", "resolution", "target_id", "unresolved_target", "source_project_id")
+    nodes.createOrReplaceTempView("ref_n"), edges.createOrReplaceTempView("ref_e")
+    want = spark.sql("""SELECT d.*, s.project_id FROM (SELECT DISTINCT n.id AS node_id, e.id, e.source_id, e.kind, e.resolution, e.target_id, e.unresolved_target
+        FROM ref_e e JOIN ref_n n ON e.target_project_id = n.project_id AND (e.target_id = n.id OR e.unresolved_target = n.qualified_name) WHERE n.id IN ('t', 'u', 'v', 'w')) d
+        JOIN ref_n s ON s.id = d.source_id""")
+    assert rows(got) == rows(want) and got.count() > 10
+
+
+def test_references_by_name_are_not_moved_after_they_are_spelled_out(spark):
+    nodes = spark.createDataFrame([(f"t{i}", "p", "N.T") for i in range(300)] + [("s", "p", "S")], "id string, project_id string, qualified_name string")
+    edges = spark.createDataFrame([(f"e{i}", "s", "c", "r", None, "N.T", "p") for i in range(200)],
+                                  "id string, source_id string, kind string, resolution string, target_id string, unresolved_target string, target_project_id string")
+    files = spark.createDataFrame([("p", 1, 0)], "project_id string, total_files long, pending_files long")
+    out = graph.incoming_references(nodes, edges, files, nodes.select("id"))["references"]
+    assert out.count() == 60_000
+    spelled = next(line for line in plan(out).splitlines() if "Join" in line and "_slice" in line)
+    above = plan(out).split(spelled)[0].splitlines()
+    depth = len(spelled) - len(spelled.lstrip(" :+-"))
+    over = [line for line in above if len(line) - len(line.lstrip(" :+-")) < depth]
+    assert not any("Exchange" in line or "Aggregate" in line for line in over)
