@@ -69,3 +69,19 @@ def test_references_by_name_are_not_moved_after_they_are_spelled_out(spark):
     depth = len(spelled) - len(spelled.lstrip(" :+-"))
     over = [line for line in above if len(line) - len(line.lstrip(" :+-")) < depth]
     assert not any("Exchange" in line or "Aggregate" in line for line in over)
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 7])
+def test_ranks_over_ranges_move_rows_once(spark, pieces):
+    keys = [None, "a", "b"]
+    given = [(keys[i % 3] if i % 5 else "a", 7 if i % 4 else None, i % 9, i) for i in range(400)]
+    df = spark.createDataFrame(given, "k string, m int, at int, id int")
+    spark.conf.set("spark.sql.shuffle.partitions", pieces)
+    try:
+        ranked = ordered.rank_in_ranges(df, ["k", "m"], ["at", "id"])
+        rows_side = plan(ranked).split("BroadcastExchange")[0]
+        assert "BroadcastHashJoin" in rows_side and "hashpartitioning" not in rows_side and "SortMergeJoin" not in rows_side
+        want = df.withColumn("rank", F.row_number().over(W.partitionBy("k", "m").orderBy(F.col("at").asc_nulls_first(), "id")))
+        assert rows(ranked, "id", "rank") == rows(want, "id", "rank")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
