@@ -85,3 +85,10 @@ def test_ranks_over_ranges_move_rows_once(spark, pieces):
         assert rows(ranked, "id", "rank") == rows(want, "id", "rank")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_tasks_of_ordered_lines_grow_with_the_text(spark, monkeypatch):
+    files = spark.createDataFrame([("p", f"f{i}", "x\n" * 500) for i in range(64)], "project string, path string, content string")
+    monkeypatch.setattr(scopes, "TEXT_BYTES", 2000, raising=False)
+    found = scopes.lines(files, ordered=True)
+    assert found.rdd.getNumPartitions() == 32 and found.count() == 64 * 501
