@@ -11,6 +11,7 @@ from relgraph.functions.kinds import (EDGE_KINDS, NODE_KINDS, RESOLUTIONS, canon
 from relgraph.operators.ordered import rank_in_ranges
 
 CONTAINS_RULE = "declaration-contains-v1"
+PLACEHOLDER = "unresolved:"
 
 
 def occurrence_suffix(nodes: DataFrame) -> DataFrame:
@@ -126,10 +127,18 @@ def publish_order(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions("id")
 
 
-def dedup_edges(edges: DataFrame) -> DataFrame:
-    """One row for each id: the smallest of its rows."""
+def dedup_edges(edges: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """One row for each id: the smallest of its rows, with the ``wanted`` columns.
+
+    Rows are compared column by column, so what stands behind the last wanted column decides nothing and does not move.
+    """
+    wanted = wanted or edges.columns
     rest = [c for c in edges.columns if c != "id"]
-    return edges.groupBy("id").agg(F.min(F.struct(*rest)).alias("e")).select(*("id" if c == "id" else F.col(f"e.{c}").alias(c) for c in edges.columns))
+    rest = rest[:max((rest.index(c) + 1 for c in wanted if c != "id"), default=0)]
+    if not rest:
+        return edges.select("id").distinct()
+    first = edges.groupBy("id").agg(F.min(F.struct(*rest)).alias("e"))
+    return first.select(*("id" if c == "id" else F.col(f"e.{c}").alias(c) for c in wanted))
 
 
 def edge_locators(edges: DataFrame, shard_plan: DataFrame, complete: bool) -> dict[str, DataFrame]:
@@ -145,84 +154,91 @@ def complete_placeholders(nodes: DataFrame, edges: DataFrame) -> dict[str, DataF
     """A closed graph: every end of every edge is a node, real or placeholder.
 
     The first record of an id, by project, wins; ``node_projects`` lists all projects of a
-    node as rows because a popular placeholder may belong to any number of them.
+    node as rows because a popular placeholder may belong to any number of them. ``edge_kinds``
+    has ``kind, resolution, target_kind`` of each row of ``edges``, without looking up its source.
     """
-    placeholder = lambda name: F.concat(F.lit("unresolved:"), F.substring(F.sha2(name, 256), 1, 16))
-    resolution = canonical_resolution(F.col("resolution"))
+    placeholder = lambda name: F.concat(F.lit(PLACEHOLDER), F.substring(F.sha2(name, 256), 1, 16))
+    kind = vocabulary_kind(F.col("kind"), EDGE_KINDS)
     real = nodes.select("id").distinct()
-    raw = edges.withColumn("resolution", resolution).withColumn(
-        "wanted", F.when(F.col("resolution") != "unresolved", F.col("target_id"))
-    )
+    typed = edges.withColumn("resolution", canonical_resolution(F.col("resolution"))).withColumn("kind", kind)
+    raw = typed.withColumn("wanted", F.when(F.col("resolution") != "unresolved", F.col("target_id"))).withColumn(
+        "target_name", F.coalesce("wanted", "unresolved_target", F.lit(""))
+    ).select("id", "project_id", "source_id", "wanted", "target_name", "target_project_id", "kind.kind", "kind.vocabulary", "resolution")
     sources = real.select(F.col("id").alias("source_id"), F.lit(True).alias("has_source"))
     targets = real.select(F.col("id").alias("wanted"), F.lit(True).alias("has_target"))
-    joined = raw.join(sources, "source_id", "left").join(targets, "wanted", "left")
     lost_source = F.col("has_source").isNull() & (F.col("source_id") != "")
     lost_target = F.col("has_target").isNull()
-    target_name = F.coalesce("wanted", "unresolved_target", F.lit(""))
-    kind = vocabulary_kind(F.col("kind"), EDGE_KINDS)
-    done = joined.select(
+    target_kind = F.when(lost_target, "placeholder").otherwise("resolved").alias("target_kind")
+    once = distinct_rows(raw)
+    done = aimed(once.join(sources, "source_id", "left"), targets).select(
         "id", "project_id",
         F.when(lost_source, placeholder(F.col("source_id"))).otherwise(F.col("source_id")).alias("source_id"),
-        F.when(lost_target, placeholder(target_name)).otherwise(F.col("wanted")).alias("target"),
-        F.when(lost_target, "placeholder").otherwise("resolved").alias("target_kind"),
-        F.when(F.col("wanted").isNull(), target_name).alias("unresolved_target"),
-        "target_project_id",
-        kind["kind"].alias("kind"),
-        kind["vocabulary"].alias("vocabulary"),
-        "resolution",
-        F.array_compact(
-            F.array(
-                F.when(lost_source, F.struct(F.col("source_id").alias("name"), F.lit("source-node-absent").alias("reason"), F.lit(0).alias("end"))),
-                F.when(
-                    lost_target,
-                    F.struct(
-                        target_name.alias("name"),
-                        F.when(F.col("wanted").isNull(), "unresolved-target").otherwise("target-node-absent").alias("reason"),
-                        F.lit(1).alias("end"),
-                    ),
-                ),
-            )
-        ).alias("made"),
+        F.when(lost_target, placeholder(F.col("target_name"))).otherwise(F.col("wanted")).alias("target"),
+        target_kind,
+        F.when(F.col("wanted").isNull(), F.col("target_name")).alias("unresolved_target"),
+        "target_project_id", "kind", "vocabulary", "resolution",
     )
-    made = done.select("project_id", "id", F.explode("made").alias("m")).select(
-        placeholder(F.col("m.name")).alias("node"), "project_id", "m.name", "m.reason",
-        F.struct("project_id", "id", "m.end").alias("at"),
+    kinds = aimed(once.select("wanted", "kind", "resolution"), targets).select("kind", "resolution", target_kind)
+    # Different edges stay different but for an end that is spelled like a placeholder, in a graph completed before.
+    spelled = lambda c: F.coalesce(F.col(c).startswith(PLACEHOLDER), F.lit(False))
+    if not raw.where(spelled("source_id") | spelled("wanted")).isEmpty():
+        done = done.distinct()
+        kinds = done.select("kind", "resolution", "target_kind")
+
+    # An end is reduced to a row for each name and project before it is looked up among the nodes.
+    def ends(df: DataFrame, name: str, end: int) -> DataFrame:
+        named = df.groupBy(F.col(name).alias("name"), "project_id").agg(F.min(F.struct("id")).alias("first"), F.count(F.lit(1)).alias("rows"))
+        return named.withColumn("end", F.lit(end))
+
+    absent = lambda df: df.join(real.select(F.col("id").alias("name")), "name", "left_anti")
+    made = (
+        absent(ends(raw.where("source_id <> ''"), "source_id", 0)).withColumn("reason", F.lit("source-node-absent"))
+        .unionByName(absent(ends(raw.where("wanted is not null"), "wanted", 1)).withColumn("reason", F.lit("target-node-absent")))
+        .unionByName(ends(raw.where("wanted is null"), "target_name", 1).withColumn("reason", F.lit("unresolved-target")))
     )
     node_kind = vocabulary_kind(F.col("kind"), NODE_KINDS)
     rows = nodes.select(
         F.col("id").alias("node"), "project_id",
-        F.struct(
-            F.lit(0).alias("rank"), F.struct("project_id", "id", F.lit(0).alias("end")).alias("at"),
-            node_kind["kind"].alias("kind"), node_kind["vocabulary"].alias("vocabulary"), F.col("name").alias("name"),
-            F.col("qualified_name").alias("qualified_name"), F.lit(False).alias("placeholder"),
-            F.lit(None).cast("string").alias("placeholder_reason"),
-        ).alias("record"),
+        F.struct(F.col("project_id").alias("project"), node_kind["kind"].alias("kind"), node_kind["vocabulary"].alias("vocabulary"),
+                 F.col("name").alias("name"), F.col("qualified_name").alias("qualified_name")).alias("stored"),
     ).unionByName(
         made.select(
-            "node", "project_id",
-            F.struct(
-                F.lit(1).alias("rank"), F.col("at"), F.lit("UnresolvedTarget").alias("kind"), F.lit("frozen").alias("vocabulary"),
-                F.col("name"), F.lit(None).cast("string").alias("qualified_name"), F.lit(True).alias("placeholder"),
-                F.col("reason").alias("placeholder_reason"),
-            ).alias("record"),
-        )
-    )
-    first = rows.groupBy("node").agg(
-        F.min_by("record", F.struct("record.rank", "record.at")).alias("r"), F.count_distinct("project_id").alias("projects")
+            placeholder(F.col("name")).alias("node"), "project_id",
+            F.struct(F.col("project_id").alias("project"), F.col("first"), F.col("end"), F.col("name"), F.col("reason")).alias("made"),
+        ),
+        allowMissingColumns=True,
     )
+    first = rows.groupBy("node").agg(F.min("stored").alias("s"), F.min("made").alias("m"), F.count_distinct("project_id").alias("projects"))
+    is_made = F.col("s").isNull()
+    either = lambda stored, placed: F.when(is_made, placed).otherwise(F.col(stored))
     return {
         "nodes": first.select(
-            F.col("node").alias("id"), "r.kind", "r.vocabulary", "r.name", "r.qualified_name", "r.placeholder",
-            "r.placeholder_reason", "projects",
+            F.col("node").alias("id"), either("s.kind", F.lit("UnresolvedTarget")).alias("kind"),
+            either("s.vocabulary", F.lit("frozen")).alias("vocabulary"), either("s.name", F.col("m.name")).alias("name"),
+            "s.qualified_name", is_made.alias("placeholder"), F.when(is_made, F.col("m.reason")).alias("placeholder_reason"), "projects",
         ),
         "node_projects": rows.select(F.col("node").alias("id"), "project_id").distinct(),
-        "edges": done.drop("made").distinct(),
-        "absent": made.where(F.col("reason") != "unresolved-target").agg(F.count(F.lit(1)).alias("absent_targets")),
+        "edges": done,
+        "edge_kinds": kinds,
+        "absent": made.where(F.col("reason") != "unresolved-target").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("absent_targets")),
     }
 
 
+def aimed(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges with their targets; those without a target meet nothing, and as null keys they would be one task."""
+    found = edges.where("wanted is not null").join(targets, "wanted", "left")
+    return found.unionByName(edges.where("wanted is null"), allowMissingColumns=True)
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """Different rows, told apart by two 64-bit hashes of all columns, so that columns nobody reads do not move."""
+    nulls = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in df.columns])
+    marked = df.withColumns({f"_h{i}": F.xxhash64(F.lit(i), nulls, *df.columns) for i in (0, 1)})
+    return marked.groupBy("_h0", "_h1").agg(*[F.first(c).alias(c) for c in df.columns]).drop("_h0", "_h1")
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """Counts of a completed graph and its legends in vocabulary order, extensions after it."""
+    """Counts of a completed graph and its legends in vocabulary order, extensions after it; of ``edges`` only ``edge_kinds`` is read."""
     node_kinds = nodes.groupBy("kind").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("placeholder").alias("placeholders")
     )

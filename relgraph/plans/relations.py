@@ -97,7 +97,7 @@ SELECT 'e5:' || cast(l_suppkey AS string) || '-' || cast(l_partkey AS string),
        CASE WHEN l_partkey % 13 = 0 THEN 'part:gone' || cast(l_partkey AS string) ELSE 'part:' || cast(l_partkey AS string) END,
        NULL, 'catalog', 'calls', CASE WHEN l_partkey % 2 = 0 THEN 'Exact_Static' ELSE 'annotated' END,
        'csharp-declarations-v1', l_suppkey
-FROM (SELECT DISTINCT l_suppkey, l_partkey FROM $lineitem) l JOIN $supplier ON l_suppkey = s_suppkey""", stored=True)
+FROM (SELECT DISTINCT l_suppkey, l_partkey FROM $lineitem) l JOIN $supplier ON l_suppkey = s_suppkey""", stored=True, dealt={"lineitem": "l_partkey"})
 
 # The published form of the graph: what the bounded queries read.
 # Two projects more that hold the same files, ids and names as two others.
