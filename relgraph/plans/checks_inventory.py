@@ -250,7 +250,7 @@ def _(read):
     projects, files = read("projects"), read("files")
     owned = projects.withColumn("project_id", F.col("id"))
     tables = {
-        "projects": projects, "nodes": read("shared_nodes"), "edges": read("owned_edges"), "files": files, "jobs": read("jobs"),
+        "projects": projects, "nodes": read("shared_nodes"), "edges": read("owned_edges", once=True), "files": files, "jobs": read("jobs"),
         "dirty_files": files.where("desired_generation > indexed_generation"), "job_files": read("job_files"),
         "job_attempts": read("jobs").withColumn("job_id", F.col("id")), "catalog_refs": owned, "published_generations": owned,
         "publish_outbox": read("outbox_rows"), "graph_revisions": read("revisions"), "runtime_checkpoints": read("revisions"),
