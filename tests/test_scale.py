@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from relgraph.extract import scopes
-from relgraph.operators import graph, ordered
+from relgraph.operators import graph, ordered, publish
 from relgraph.plans import load, registry
+from relgraph.sources import snapshots
 
 NODES = "id string, project_id string, kind string, name string, qualified_name string, language string, file string, start_line long, end_line long"
 EDGES = ("id string, project_id string, source_id string, target_id string, unresolved_target string, target_project_id string, kind string, "
@@ -92,3 +93,77 @@ def test_tasks_of_ordered_lines_grow_with_the_text(spark, monkeypatch):
     monkeypatch.setattr(scopes, "TEXT_BYTES", 2000, raising=False)
     found = scopes.lines(files, ordered=True)
     assert found.rdd.getNumPartitions() == 32 and found.count() == 64 * 501
+
+
+STEPS = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "c"), ("d", "a"), ("x", "y"), (None, "b"), ("b", None)]
+
+
+@pytest.mark.parametrize("held", [0, 1, 2, 1000])
+def test_walks_find_steps_of_a_level_where_they_lie(spark, held, monkeypatch):
+    """Steps are stored in buckets for levels of more than ``held`` ids only; what is found is the same."""
+    made = []
+    kept = graph.adjacency
+    monkeypatch.setattr(graph, "adjacency", lambda *a: made.append(1) or kept(*a))
+    steps = spark.createDataFrame([(s, t, f"{s}{t}") for s, t in STEPS], "from_id string, to_id string, edge string")
+    roots = spark.createDataFrame([("a",)], "id string")
+    found = graph.reach(steps, roots, with_path=True, held=held)
+    assert rows(found, "id", "depth", "path") == [("a", 0, ()), ("b", 1, ("ab",)), ("c", 1, ("ac",)), ("d", 2, ("ac", "cd"))]
+    assert len(made) == (held < 2)
+    moved = plan(graph.near(steps, "from_id", roots))
+    assert "Exchange hashpartitioning(from_id" not in moved and "BroadcastHashJoin" in moved
+
+
+def test_buckets_of_steps_grow_with_the_steps(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BUCKET_STEPS", 100)
+    steps = spark.range(1000).selectExpr("cast(id AS string) AS from_id", "cast(id + 1 AS string) AS to_id")
+    with graph.adjacency(steps) as (stored, _):
+        made = int(next(r.data_type for r in spark.sql(f"DESCRIBE FORMATTED {stored.inputFiles()[0].split('/')[-2]}").collect() if r.col_name == "Num Buckets"))
+    assert made == 10
+
+
+def test_one_edge_of_each_id_moves_no_column_behind_the_wanted_ones(spark):
+    edges = spark.createDataFrame([("1", "b", "s", "t", "z"), ("1", "a", "u", None, "y"), ("1", "a", None, "t", "x"), ("2", None, "s", "t", "x"), (None, "a", "s", "t", "x")],
+                                  "id string, owner_file string, source_id string, target_id string, kind string")
+    whole, some = publish.dedup_edges(edges), publish.dedup_edges(edges, ["source_id", "id"])
+    assert rows(some) == rows(whole, "source_id", "id") and rows(some, "id", "source_id") == [("1", None), ("2", "s"), (None, "s")]
+    assert "target_id" not in plan(some).split("Exchange")[1].splitlines()[0] and rows(publish.dedup_edges(edges, ["id"])) == [("1",), ("2",), (None,)]
+
+
+def test_completed_edges_are_counted_without_their_sources(spark):
+    nodes = spark.createDataFrame([("a", "p", "Class", "A", "N.A"), ("a", "q", "Method", "B", None), ("b", "p", "Class", "B", None), ("unresolved:2d711642b726b044", "p", "Class", "X", None)],
+                                  "id string, project_id string, kind string, name string, qualified_name string")
+    shape = ("id string, project_id string, source_id string, target_id string, unresolved_target string, target_project_id string, kind string, resolution string")
+    edge = lambda i, s, t, u=None, r="exact_static", p="p": (i, p, s, t, u, "p", "calls", r)
+    given = [edge("1", "a", "b"), edge("1", "a", "b", r="Exact_Static"), edge("2", "gone", "b"), edge("2", "gone", "b", p="q"), edge("3", "a", "lost"), edge("4", None, None, "N.T"),
+             edge("5", "a", "b", "N.T", "unresolved"), edge("6", "", None), edge(None, "gone", "lost")]
+    for more in ([], [edge("7", "x", "b"), edge("7", "unresolved:2d711642b726b044", "b")]):  # sha256 of x: both are one edge afterwards
+        done = publish.complete_placeholders(nodes, spark.createDataFrame(given + more, shape))
+        kinds = ["kind", "resolution", "target_kind"]
+        assert rows(done["edge_kinds"], *kinds) == rows(done["edges"], *kinds)
+        assert done["edges"].count() == 8 + bool(more)
+        assert done["absent"].first()[0] == 5 + bool(more)
+        assert rows(done["nodes"].where("placeholder"), "name", "placeholder_reason", "projects") == [
+            ("", "unresolved-target", 1), ("N.T", "unresolved-target", 1), ("gone", "source-node-absent", 2), ("lost", "target-node-absent", 1)]
+        assert rows(done["nodes"].where("id = 'a'"), "kind", "name", "projects") == [("Class", "A", 2)]
+    assert "source_id" not in "".join(line for line in plan(publish.graph_summary(done["nodes"], publish.complete_placeholders(
+        nodes, spark.createDataFrame(given, shape))["edge_kinds"])["counts"].select("edges", "placeholder_edges")).splitlines() if "SortMergeJoin" in line)
+
+
+def test_rows_read_once_are_not_stored_and_dealt_tables_move_once(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(registry, "_written", {})
+    load().QUERIES["u5_union_shards"](spark, sf_dir).count()
+    assert not registry._written
+    read = plan(registry.rows(spark, sf_dir, "edges", once=True).where("id LIKE 'e4:%'").select("id"))
+    assert "hashpartitioning(l_partkey" in read and "hashpartitioning(l_orderkey" not in read
+    assert rows(registry.rows(spark, sf_dir, "edges", once=True)) == rows(registry.rows(spark, sf_dir, "edges"))
+
+
+def test_a_generation_leaves_no_lines_beside_its_own(spark, tmp_path, monkeypatch):
+    kept = tmp_path / "shared"
+    monkeypatch.setattr("relgraph.session.shared_dir", lambda spark: str(kept))
+    nodes = spark.range(300).selectExpr("concat('n', id) AS id", "repeat('x', 1000) AS kind")
+    edges = spark.range(300).selectExpr("concat('e', id) AS id", "'n1' AS source_id")
+    generation = snapshots.write_generation(nodes, edges, str(tmp_path / "root"), "p", 1, buckets=2, max_bytes=5000)
+    assert sum(f.stat().st_size for f in kept.rglob("*") if f.is_file()) < 100_000
+    found = snapshots.read_snapshot(spark, str(tmp_path / "root"), {"p": generation}, {"nodes": "id string, kind string", "edges": "id string, source_id string"})
+    assert rows(found["nodes"]) == rows(nodes) and rows(found["edges"]) == rows(edges)
