@@ -42,23 +42,34 @@ def common_items(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return out
 
 
-def meet_blocks(share: int):
+def _stored_items(members: pa.StructArray) -> list[bytes]:
+    return members.field("items").to_pylist()
+
+
+def meet_blocks(share: int, sets=_stored_items):
     """Which components the links between two blocks of sets join, as one link for each component but the smallest of those joined.
 
-    ``x`` and ``y`` are lists of ``rep, comp, items``; ``items`` are sorted hashes as bytes.
+    ``x`` and ``y`` are lists of ``rep, comp`` and of what ``sets`` makes the items from, sorted hashes as bytes.
+    Two lists with the same representatives hold the same sets.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        reps, held = [None, None], [None, None]  # of the last row; pairs of a block often follow one another
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = batch.column("x")[k].as_py(), batch.column("y")[k].as_py()
-                both = common_items([m["items"] for m in x], [m["items"] for m in y])
-                nx, ny = (np.array([len(m["items"]) // 8 for m in side]) for side in (x, y))
-                cx, cy = (np.array([m["comp"] for m in side]) for side in (x, y))
+                sides = [batch.column(c)[k].values for c in "xy"]
+                for s, side in enumerate(sides):
+                    now = side.field("rep").to_pylist()
+                    if now != reps[s]:
+                        reps[s], held[s] = now, held[0] if s and now == reps[0] else sets(side)
+                x, y = held
+                both = common_items(x, y)
+                nx, ny = (np.array([len(m) // 8 for m in side]) for side in held)
+                cx, cy = (side.field("comp").to_numpy() for side in sides)
                 i, j = np.nonzero((100 * both >= share * (nx[:, None] + ny - both)) & (cx[:, None] != cy))
                 low, high = spanning(cx[i], cy[j])
-                name = {m["comp"]: m["rep"] for m in (*x, *y)}
+                name = {c: r for comps, who in zip((cx, cy), reps) for c, r in zip(comps.tolist(), who)}
                 yield rows_out(schema, [name[c] for c in low], [name[c] for c in high])
 
     return run, "a long, b long"

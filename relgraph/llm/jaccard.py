@@ -207,21 +207,17 @@ def _nodes(members: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def _items(width: int):
-    """The set of each text as bytes, beside the leaf that it lies in."""
-    schema = pa.schema([("tree", pa.int64()), ("band", pa.int32()), ("cell", pa.string()), ("node", pa.int64()),
-                        ("doc_id", pa.int64()), ("comp", pa.int64()), ("items", pa.binary())])
-    before = schema.names[:-1]
+def _sets_of(width: int):
+    """The sets of a leaf as bytes, made from its texts."""
+    def made(members: pa.StructArray) -> list[bytes]:
+        items = []
+        for part in slices(pa.RecordBatch.from_arrays([members.field("text")], ["text"]), "text", _PIECE):
+            value, row = shingle_sets(part.column("text"), width)
+            cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
+            items += [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return items
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", _PIECE):
-                value, row = shingle_sets(part.column("text"), width)
-                cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                items = [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield rows_out(schema, *(part.column(c) for c in before), items)
-
-    return run, "tree long, band int, cell string, node long, doc_id long, comp long, items binary"
+    return made
 
 
 def traverse(members: DataFrame, texts: DataFrame, width: int, share: int, fan: int = 64, first: bool = False) -> DataFrame:
@@ -269,15 +265,13 @@ def _links(members: DataFrame, texts: DataFrame, width: int, share: int, fan: in
     open_nodes = stored(x.join(y, met & differ & once & _bound(share)).select(
         *(f"x.{c}" for c in leaf), *(F.col(f"y.{c}").alias(f"to_{c}") for c in leaf[1:])
     ), "open_nodes", folder)
-    # only the leaves of open pairs need their sets
+    # only the leaves of open pairs are filled, and with texts: they take a fraction of the bytes of their sets
     used = open_nodes.select(*leaf).unionByName(open_nodes.select("tree", *(F.col(f"to_{c}").alias(c) for c in leaf[1:]))).distinct()
     held = sets.select(*leaf, "doc_id", "comp").join(used, leaf)
-    run, schema = _items(width)
-    lying = held.join(texts.hint("merge"), "doc_id").select(*leaf, "doc_id", "comp", "text")
-    blocks = lying.mapInArrow(run, schema).groupBy(*leaf).agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "items")).alias("x"))
-    blocks = stored(blocks, "leaves", folder)
+    lying = held.join(texts.hint("merge"), "doc_id").groupBy(*leaf)
+    blocks = stored(lying.agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "text")).alias("x")), "leaves", folder)
     there = blocks.select("tree", *(F.col(c).alias(f"to_{c}") for c in leaf[1:]), F.col("x").alias("y"))
-    run, schema = meet_blocks(share)
+    run, schema = meet_blocks(share, _sets_of(width))
     pairs = open_nodes.join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])])
     return stored(pairs.select("x", "y").mapInArrow(run, schema).distinct(), "links")
 
