@@ -25,13 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage there.
 
     In a ``folder`` of ``session.scratch`` it is removed with that folder.
     """
     path = f"{folder or shared_dir(df.sparkSession) + '/relgraph-llm'}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

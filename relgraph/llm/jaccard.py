@@ -269,11 +269,14 @@ def _links(members: DataFrame, texts: DataFrame, width: int, share: int, fan: in
     used = open_nodes.select(*leaf).unionByName(open_nodes.select("tree", *(F.col(f"to_{c}").alias(c) for c in leaf[1:]))).distinct()
     held = sets.select(*leaf, "doc_id", "comp").join(used, leaf)
     lying = held.join(texts.hint("merge"), "doc_id").groupBy(*leaf)
-    blocks = stored(lying.agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "text")).alias("x")), "leaves", folder)
+    blocks = stored(lying.agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "text")).alias("x")), "leaves", folder, "zstd")
     there = blocks.select("tree", *(F.col(c).alias(f"to_{c}") for c in leaf[1:]), F.col("x").alias("y"))
     run, schema = meet_blocks(share, _sets_of(width))
-    pairs = open_nodes.join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])])
-    return stored(pairs.select("x", "y").mapInArrow(run, schema).distinct(), "links")
+    itself = F.struct(*leaf[1:]) == F.struct(*(F.col(f"to_{c}").alias(c) for c in leaf[1:]))
+    # most leaves meet themselves alone and need no second move
+    alone = open_nodes.where(itself).select(*leaf).join(blocks, leaf).select("x", F.col("x").alias("y"))
+    pairs = open_nodes.where(~itself).join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])]).select("x", "y").unionByName(alone)
+    return stored(pairs.mapInArrow(run, schema).distinct(), "links")
 
 
 def _trees(sets: DataFrame) -> DataFrame:
@@ -307,7 +310,7 @@ def _groups(whole: DataFrame, cards: DataFrame, reps: DataFrame, width: int, sha
     several = named.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
     named = stored(named.join(several, "root"), "several", folder)
     ids = named.select("doc_id").distinct()
-    texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", folder)
+    texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", folder, "zstd")
     run, schema = _signatures(width)
     drawn = stored(texts.mapInArrow(run, schema).withColumns({"lo": F.col("n"), "hi": F.col("n")}), "signatures", folder)
     hung = stored(_trees(named.select("root", "doc_id", F.col("doc_id").alias("comp"))).join(drawn, "doc_id"), "hung", folder)
