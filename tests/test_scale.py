@@ -1,12 +1,14 @@
 """What moves, and what is written, by operators over whole graphs; results beside plain forms of them."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
+from relgraph import session
 from relgraph.extract import scopes
-from relgraph.operators import graph, ordered, publish
+from relgraph.operators import graph, ordered, packing, publish
 from relgraph.plans import load, registry
 from relgraph.sources import snapshots
 
@@ -167,3 +169,21 @@ def test_a_generation_leaves_no_lines_beside_its_own(spark, tmp_path, monkeypatc
     assert sum(f.stat().st_size for f in kept.rglob("*") if f.is_file()) < 100_000
     found = snapshots.read_snapshot(spark, str(tmp_path / "root"), {"p": generation}, {"nodes": "id string, kind string", "edges": "id string, source_id string"})
     assert rows(found["nodes"]) == rows(nodes) and rows(found["edges"]) == rows(edges)
+
+
+def test_parts_are_numbered_without_their_lines_in_python(spark):
+    """Only sizes go to Python; a chunk of wide rows would be held there several times over."""
+    records = spark.createDataFrame([(f"k{i}", "x" * 30) for i in range(50)], "key string, line string")
+    plan = packing.pack_shards(records, 100, 2, carry=["line"])["plan"]
+    steps = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    in_python = [s for s in steps if "InArrow" in s]
+    assert in_python and not [s for s in in_python if "line#" in s]
+
+
+def test_tables_of_large_rows_have_small_row_groups(spark, tmp_path):
+    """Compression makes a row group of default size hold gigabytes of equal-looking text, which a reader takes in thousands of rows at once."""
+    texts = spark.range(0, 600, 1, 1).select(F.repeat(F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("\n")), 1000).alias("text"))
+    stored = session.compressed(texts, str(tmp_path / "parts"), session.SMALL_GROUP >> 4)
+    files = [pq.ParquetFile(p) for p in (tmp_path / "parts").glob("part-*")]
+    assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) < 300
+    assert sorted(r.text for r in stored.collect()) == sorted(r.text for r in texts.collect())
