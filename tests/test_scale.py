@@ -187,3 +187,16 @@ def test_tables_of_large_rows_have_small_row_groups(spark, tmp_path):
     files = [pq.ParquetFile(p) for p in (tmp_path / "parts").glob("part-*")]
     assert max(f.metadata.row_group(g).num_rows for f in files for g in range(f.num_row_groups)) < 300
     assert sorted(r.text for r in stored.collect()) == sorted(r.text for r in texts.collect())
+
+
+def test_edge_locators_move_edges_once(spark):
+    edges = spark.createDataFrame([("a", "f", "t", "calls"), ("b", "f", "t", "calls"), ("b", "f", "u", "calls"), (None, "f", "t", "calls")],
+                                  "key string, from_id string, to_id string, relation string")
+    shards = spark.createDataFrame([("a", 1, "s1"), ("a", 2, "s2"), (None, 3, "s3")], "key string, bucket int, shard string")
+    out = publish.edge_locators(edges, shards, complete=True)
+    assert rows(out["locators"], "key", "to_id", "bucket", "shard", "complete") == [("a", "t", 1, "s1", True), ("a", "t", 2, "s2", True)]
+    assert sorted(map(str, rows(out["missing"], "key"))) == ["('b',)", "('b',)", "(None,)"]
+    assert sorted(map(str, rows(out["both"], "key", "found", "complete"))) == [
+        "('a', True, True)", "('a', True, True)", "('b', False, None)", "('b', False, None)", "(None, False, None)"]
+    logical = out["both"]._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Join") == 1
