@@ -174,16 +174,20 @@ def complete_placeholders(nodes: DataFrame, edges: DataFrame) -> dict[str, DataF
     lost_source = F.col("has_source").isNull() & (F.col("source_id") != "")
     lost_target = F.col("has_target").isNull()
     target_kind = F.when(lost_target, "placeholder").otherwise("resolved").alias("target_kind")
-    once = distinct_rows(raw)
-    done = aimed(once.join(sources, "source_id", "left"), targets).select(
+    # Equal edges have one source, so they are found where the look-up of sources puts them. What follows from other columns
+    # does not move, and an edge without a target is sought under a name that no node has, as null keys would be one task.
+    open_name = F.when(F.col("wanted").isNull(), F.col("target_name")).alias("open_name")
+    once = raw.select("id", "project_id", "source_id", "wanted", open_name, "target_project_id", "kind", "resolution").repartition("source_id").distinct()
+    sought = F.coalesce(F.concat(F.lit("="), "wanted"), F.concat(F.lit("-"), F.xxhash64("id", "source_id").cast("string")))
+    aims = real.select(F.concat(F.lit("="), "id").alias("aim"), F.lit(True).alias("has_target"))
+    done = once.join(sources, "source_id", "left").join(aims, sought == F.col("aim"), "left").select(
         "id", "project_id",
         F.when(lost_source, placeholder(F.col("source_id"))).otherwise(F.col("source_id")).alias("source_id"),
-        F.when(lost_target, placeholder(F.col("target_name"))).otherwise(F.col("wanted")).alias("target"),
-        target_kind,
-        F.when(F.col("wanted").isNull(), F.col("target_name")).alias("unresolved_target"),
-        "target_project_id", "kind", "vocabulary", "resolution",
+        F.when(lost_target, placeholder(F.coalesce("wanted", "open_name"))).otherwise(F.col("wanted")).alias("target"),
+        target_kind, F.col("open_name").alias("unresolved_target"), "target_project_id",
+        "kind", vocabulary_kind(F.col("kind"), EDGE_KINDS)["vocabulary"].alias("vocabulary"), "resolution",
     )
-    kinds = aimed(once.select("wanted", "kind", "resolution"), targets).select("kind", "resolution", target_kind)
+    kinds = aimed(distinct_rows(raw).select("wanted", "kind", "resolution"), targets).select("kind", "resolution", target_kind)
     # Different edges stay different but for an end that is spelled like a placeholder, in a graph completed before.
     spelled = lambda c: F.coalesce(F.col(c).startswith(PLACEHOLDER), F.lit(False))
     if not raw.where(spelled("source_id") | spelled("wanted")).isEmpty():

@@ -200,3 +200,17 @@ def test_edge_locators_move_edges_once(spark):
         "('a', True, True)", "('a', True, True)", "('b', False, None)", "('b', False, None)", "(None, False, None)"]
     logical = out["both"]._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("Join") == 1
+
+
+def test_completed_edges_move_once_for_each_end(spark):
+    nodes = spark.createDataFrame([("a", "p", "Class", "A", None), ("=b", "p", "Class", "B", None)], "id string, project_id string, kind string, name string, qualified_name string")
+    edges = spark.createDataFrame([("1", "p", "a", "=b", None, "p", "calls", "annotated"), ("1", "p", "a", "=b", None, "p", "CALLS", "Annotated"), ("2", "p", "a", "b", None, "p", "other", "odd"),
+                                   ("3", "p", "a", None, "N.X", "p", "", None), (None, "p", None, None, None, None, None, "unresolved"), (None, "p", None, None, None, None, None, "unresolved")],
+                                  "id string, project_id string, source_id string, target_id string, unresolved_target string, target_project_id string, kind string, resolution string")
+    done = publish.complete_placeholders(nodes, edges)["edges"]
+    got = {r.id: (r.target_kind, r.unresolved_target, r.kind, r.vocabulary, r.resolution) for r in done.collect()}
+    assert done.count() == 4 and got == {
+        "1": ("resolved", None, "CALLS", "frozen", "annotated"), "2": ("placeholder", None, "other", "extension", "unknown"),
+        "3": ("placeholder", "N.X", "unknown", "extension", "unknown"), None: ("placeholder", "", "unknown", "extension", "unresolved")}
+    moves = [line for line in plan(done).split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line]
+    assert not [m for m in moves if "_h0" in m] and "hashpartitioning(source_id" in "".join(moves)
