@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from relgraph.functions import identity
@@ -31,7 +32,7 @@ def occurrence_suffix(nodes: DataFrame) -> DataFrame:
     )
 
 
-def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+def publish_graph(nodes: DataFrame, edges: DataFrame, wanted: list[str] | None = None) -> dict[str, DataFrame]:
     """Published nodes and edges with content-derived ids.
 
     Stored ids are ids inside a project: an edge of ``project_id`` starts at that project's
@@ -40,7 +41,9 @@ def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     becomes unresolved, named by the stored name, else the target's qualified name, else
     the owner file. An edge without evidence gets the first line of its owner file. Of stored
     edges that publish the same id, the one with the smallest stored id stays. ``attributes``
-    of nodes are passed on.
+    of nodes are passed on. Of edges, the ``wanted`` columns are returned; others that decide nothing do not move.
+
+    Published ids are hashes, which nothing compresses: they move as bytes, and each node moves once, as the end it is of edges.
     """
     keyed = occurrence_suffix(nodes)
     published = keyed.select(
@@ -52,16 +55,22 @@ def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
     names = published.select("project_id", "id", "pub_id")
     kind = contract_edge_kind(F.col("kind"))
     typed = edges.withColumn("edge_kind", kind).where(F.col("edge_kind").isNotNull())
-    sources = names.select("project_id", F.col("id").alias("source_id"), F.col("pub_id").alias("pub_source"))
-    joined = typed.join(sources, ["project_id", "source_id"])
-    # one relation of targets: the published id where there is one, and the stored name
-    targets = nodes.select("project_id", "id", "qualified_name").join(names, ["project_id", "id"], "left").select(
-        F.col("project_id").alias("target_project_id"), F.col("id").alias("target_id"), F.col("pub_id").alias("pub_target"),
-        F.col("qualified_name").alias("stored_name"),
-    )
-    # edges without a target meet nothing; as null keys they would be one task
-    aimed = joined.where("target_id is not null").join(targets, ["target_project_id", "target_id"], "left")
-    joined = aimed.unionByName(joined.where("target_id is null"), allowMissingColumns=True)
+    # one relation for both ends: the published id where there is one, else the stored name
+    is_id, is_name = F.lit(b"\x01"), F.lit(b"\x00")
+    unpublished = nodes.where(contract_kind(F.col("kind")).isNull()).select("project_id", "id", F.concat(is_name, F.encode("qualified_name", "UTF-8")).alias("said"))
+    said = names.select("project_id", "id", F.concat(is_id, F.unhex("pub_id")).alias("said")).unionByName(unpublished).where(
+        "project_id is not null and id is not null")
+    has_id = F.coalesce(F.col("said") >= is_id, F.lit(False))
+    known = said.withColumn("published", F.max(has_id).over(W.partitionBy("project_id", "id"))).where(has_id | ~F.col("published")).drop("published")
+    source, target = known.alias("s"), known.alias("t")
+    joined = typed.alias("e").join(source, (F.col("e.project_id") == F.col("s.project_id")) & (F.col("e.source_id") == F.col("s.id"))).where(
+        F.col("s.said") >= is_id).select("e.*", F.expr("substring(s.said, 2)").alias("pub_source"))
+    # edges without a target are sought under salted names, as null keys would be one task; what they meet is no target of theirs
+    sought = F.coalesce("e.target_id", F.concat(F.lit("-"), F.xxhash64("e.id", "e.source_id").cast("string")))
+    joined = joined.alias("e").join(target, (F.col("e.target_project_id") == F.col("t.project_id")) & (sought == F.col("t.id")), "left").select(
+        "e.*", F.when(F.col("e.target_id").isNotNull(), F.col("t.said")).alias("said"))
+    joined = joined.withColumns({
+        "pub_target": F.when(has_id, F.expr("substring(said, 2)")), "stored_name": F.when(~has_id, F.decode(F.expr("substring(said, 2)"), "UTF-8"))})
     resolved = F.col("pub_target").isNotNull()
     name = F.coalesce("unresolved_target", "stored_name", "owner_file")
 
@@ -89,18 +98,20 @@ def publish_graph(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
         evidence.alias("evidence"),
         "analyzer_id",
     ).where(resolved_or_named())
-    with_id = shaped.withColumn(
-        "id",
-        identity.edge_id(
-            F.col("source_id"), F.col("kind"), F.coalesce("target_id", "unresolved_target"), identity.evidence_key(F.col("evidence"))
-        ),
-    )
-    rest = [c for c in with_id.columns if c not in ("id", "stored_id")]
-    # whole rows break ties, so that equal stored ids leave nothing to chance
-    first = with_id.groupBy("id").agg(F.min(F.struct("stored_id", *rest)).alias("e"))
+    text = lambda c: F.lower(F.hex(c))
+    made = identity.edge_id(text("source_id"), F.col("kind"), F.coalesce(text("target_id"), "unresolved_target"), identity.evidence_key(F.col("evidence")))
+    with_id = shaped.withColumn("id", F.unhex(made))
+    columns = [c for c in with_id.columns if c not in ("id", "stored_id")]
+    wanted = [c for c in columns if wanted is None or c in wanted]
+    # whole rows break ties, so that equal stored ids leave nothing to chance. Edges of one id have one source and kind, and
+    # their targets differ by being there or not; nothing is decided behind the last wanted column.
+    decides = [c for c in columns[:max((columns.index(c) + 1 for c in wanted), default=0)] if c in wanted or c not in ("source_id", "kind")]
+    with_id = with_id if "target_id" in wanted else with_id.withColumn("target_id", F.col("target_id").isNotNull())
+    first = with_id.groupBy("id").agg(F.min(F.struct("stored_id", *decides)).alias("e"))
+    shown = lambda c: text(f"e.{c}").alias(c) if c in ("source_id", "target_id") else F.col(f"e.{c}")
     return {
         "nodes": published.drop("id").withColumnRenamed("pub_id", "id"),
-        "edges": first.select(*(F.col(f"e.{c}") for c in rest), "id"),
+        "edges": first.select(*map(shown, wanted), text("id").alias("id")),
         "keys": names,
     }
 

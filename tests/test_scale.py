@@ -214,3 +214,30 @@ def test_completed_edges_move_once_for_each_end(spark):
         "3": ("placeholder", "N.X", "unknown", "extension", "unknown"), None: ("placeholder", "", "unknown", "extension", "unresolved")}
     moves = [line for line in plan(done).split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line]
     assert not [m for m in moves if "_h0" in m] and "hashpartitioning(source_id" in "".join(moves)
+
+
+def _published(spark, wanted=None):
+    node = "id string, project_id string, owner_file string, kind string, name string, qualified_name string, language string, start_line long, end_line long"
+    nodes = spark.createDataFrame([
+        ("a", "p", "f", "class", "A", "N.A", "cs", 1, 2), ("b", "p", "f", "class", "B", "N.B", "cs", 3, 4), ("b", "q", "f", "class", "B", "N.B", "cs", 3, 4),
+        ("u", "p", "f", "odd", "U", "N.U", "cs", 5, 6), ("b", "p", "g", "odd", "B", "N.Other", "cs", 7, 8), (None, "p", "f", "class", "C", "N.C", "cs", 9, 9)], node)
+    edge = "id string, project_id string, owner_file string, source_id string, target_id string, unresolved_target string, target_project_id string, kind string, resolution string, analyzer_id string, line long"
+    edges = spark.createDataFrame([
+        ("2", "p", "f", "a", "b", None, "p", "contains", "unresolved", "x", 1), ("1", "p", "f", "a", "b", None, "p", "contains", "annotated", "y", 1), ("1", "p", "f", "a", "b", None, "p", "contains", "annotated", "x", 1),
+        ("3", "p", "f", "a", "u", None, "p", "contains", "annotated", "x", 1), ("4", "p", "f", "a", None, "N.Z", "p", "contains", "annotated", "x", 1), ("5", "p", "f", "a", None, None, "p", "contains", "annotated", "x", 2),
+        ("6", "p", "f", "gone", "b", None, "p", "contains", "annotated", "x", 1), ("7", "p", "f", "a", "b", None, "p", "calls", "annotated", "x", 1), (None, "p", "f", "a", "lost", "", "p", "contains", None, "x", 3)], edge)
+    return publish.publish_graph(nodes, edges, wanted)["edges"]
+
+
+def test_published_edges_move_ids_as_bytes_and_only_what_is_wanted(spark):
+    whole = _published(spark)
+    ids = {r.qualified_name: r.id for r in publish.publish_graph(*[spark.createDataFrame(d, s) for d, s in (
+        ([("a", "p", "f", "class", "A", "N.A", "cs", 1, 2), ("b", "p", "f", "class", "B", "N.B", "cs", 3, 4)], "id string, project_id string, owner_file string, kind string, name string, qualified_name string, language string, start_line long, end_line long"),
+        ([], "id string, project_id string, owner_file string, source_id string, target_id string, unresolved_target string, target_project_id string, kind string, resolution string, analyzer_id string, line long"))])["nodes"].collect()}
+    assert sorted(map(str, rows(whole, "source_id", "target_id", "unresolved_target", "resolution", "analyzer_id"))) == sorted(map(str, [
+        (ids["N.A"], ids["N.B"], None, "annotated", "x"), (ids["N.A"], None, "N.U", "unresolved", "x"), (ids["N.A"], None, "N.Z", "unresolved", "x"), (ids["N.A"], None, "f", "unresolved", "x")]))
+    some = _published(spark, ["project_id", "unresolved_target"])
+    assert some.columns == ["project_id", "unresolved_target", "id"]
+    assert sorted(map(str, rows(some))) == sorted(map(str, rows(whole, *some.columns)))
+    moved = [line for line in plan(some).split("Initial Plan")[-1].splitlines() if "SortAggregate(key=[id" in line]
+    assert moved and "analyzer_id" not in "".join(moved) and "evidence" not in "".join(moved)
