@@ -226,7 +226,7 @@ def _(read):
     return inventory.audit_facts(read("dirty_facts"), read("dirty_edges"), max_nodes=80, max_edges=200)
 
 
-relation("projects", """SELECT DISTINCT project_id AS id, 'sol' || cast(length(project_id) % 3 AS string) AS solution_id FROM @shared_nodes""")
+relation("projects", """SELECT DISTINCT project_id AS id, 'sol' || cast(length(project_id) % 3 AS string) AS solution_id FROM @shared_nodes""", stored=True)
 relation("owned_edges", """SELECT id, project_id AS owner_project, CASE WHEN line % 7 = 0 THEN target_project_id ELSE project_id END AS source_project, source_id FROM @shared_edges""")
 relation("job_files", """SELECT j.id AS job_id, p.id AS project_id, j.id || '.cs' AS path FROM @jobs j JOIN @projects p ON length(j.id) % 5 = length(p.id) % 5""")
 relation("revisions", """SELECT 'r' || cast(n_nationkey AS string) AS id, 'sol' || cast(n_nationkey % 4 AS string) AS solution_id FROM $nation""")

@@ -241,3 +241,8 @@ def test_published_edges_move_ids_as_bytes_and_only_what_is_wanted(spark):
     assert sorted(map(str, rows(some))) == sorted(map(str, rows(whole, *some.columns)))
     moved = [line for line in plan(some).split("Initial Plan")[-1].splitlines() if "SortAggregate(key=[id" in line]
     assert moved and "analyzer_id" not in "".join(moved) and "evidence" not in "".join(moved)
+
+
+def test_projects_are_found_once_for_a_removal(spark, sf_dir):
+    """Each part of the removal looks projects up; found again for each, they made a plan that filled the driver."""
+    assert plan(load().QUERIES["u7_remove_solution"](spark, sf_dir)).count("FileScan parquet") < 80
