@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from relgraph.extract import declarations, endpoints, manifests, usage
+from relgraph.functions import literals
 from tests.helpers import files, rows
 
 NESTED = """namespace Shop.Core
@@ -191,3 +192,36 @@ def test_partition_count_does_not_matter(spark):
     one = rows(declarations.csharp_declarations(df.repartition(1)), "path", "line", "key")
     many = rows(declarations.csharp_declarations(df.repartition(7).orderBy(F.rand(3))), "path", "line", "key")
     assert one == many
+
+
+TWO_CONTROLLERS = """[Route("a/[controller]")]
+public class OneController
+{
+    [HttpGet("x")]
+    public int Get() { return 1; }
+    public void Plain() { if (x) { } }
+    [HttpPut]
+    public int Put() { return 1; }
+}
+[HttpGet("gone")]
+public int Outside() { return 1; }
+[Route("b")]
+public class TwoController
+{
+    [HttpGet("y")]
+    public int Get() { return 1; }
+}"""
+
+
+def test_controllers_of_a_file_are_told_apart_in_one_order(spark):
+    found = endpoints.controller_routes(files(spark, ("a.cs", TWO_CONTROLLERS)))
+    assert sorted(rows(found, "line", "controller", "template", "status")) == [
+        (5, "OneController", "a/One/x", "endpoint"), (8, "OneController", "a/One/Put", "endpoint"), (16, "TwoController", "b/y", "endpoint")]
+    sorts = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+    assert sorts and "segment" not in "".join(sorts)
+
+
+def test_plain_literals_and_brackets_need_no_fold(spark):
+    df = spark.createDataFrame([('[HttpGet("a]")]  ', '"a"', "{{}"), ('[A], [B("x")]', 'n, "b"', "'{' {"), ('[a[b]]', '"c\\"d"', '"}" }'), ("[x] y", "", "")], "line string, args string, code string")
+    got = df.select(endpoints.bracket_groups(F.col("line")).alias("g"), literals.first_literal_argument(F.col("args")).alias("a"), literals.brace_delta(F.col("code")).alias("d"))
+    assert [(r.g, r.a, r.d) for r in got.collect()] == [(['HttpGet("a]")'], "a", 1), (["A", 'B("x")'], "b", 1), (["a[b]"], 'c"d', -1), (["x"], None, 0)]
