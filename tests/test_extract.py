@@ -225,3 +225,15 @@ def test_plain_literals_and_brackets_need_no_fold(spark):
     df = spark.createDataFrame([('[HttpGet("a]")]  ', '"a"', "{{}"), ('[A], [B("x")]', 'n, "b"', "'{' {"), ('[a[b]]', '"c\\"d"', '"}" }'), ("[x] y", "", "")], "line string, args string, code string")
     got = df.select(endpoints.bracket_groups(F.col("line")).alias("g"), literals.first_literal_argument(F.col("args")).alias("a"), literals.brace_delta(F.col("code")).alias("d"))
     assert [(r.g, r.a, r.d) for r in got.collect()] == [(['HttpGet("a]")'], "a", 1), (["A", 'B("x")'], "b", 1), (["a[b]"], 'c"d', -1), (["x"], None, 0)]
+
+
+def test_sections_of_a_manifest_are_carried_in_one_order(spark):
+    text = "services:\n  web:\n    image: a\n    environment:\n      KEY: v\n  db:\n    host: h\nservices:\n  late:\n    image: b"
+    found = manifests.manifest_hints(files(spark, ("docker-compose.yml", text)))
+    assert sorted(rows(found, "line", "status", "provenance")) == [
+        (3, "hint", "compose:services.web.image"), (5, "hint", "compose:services.web.KEY"), (7, "hint", "compose:services.web.host"),
+        (10, "hint", "compose:services.late.image")]
+    steps = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [s for s in steps if "Sort [" in s and "block" in s]
+    # the row of a hint is made once, not again for each of its fields
+    assert max(s.count("unresolved-dynamic-value") + s.count("depends_on") for s in steps) < 6
