@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -35,6 +36,18 @@ def stored(df: DataFrame, name: str, folder: str | None = None, codec: str | Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> DataFrame:
+    """``df``, read from a table, after shuffle files that nobody reads any more were let go.
+
+    Spark removes them when the driver has collected its garbage, and a driver with room to spare does so after the disk is
+    full. What the first collection lets go of refers to the rest.
+    """
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession._jvm.java.lang.System.gc()
+    return df
+
+
 def lean(df: DataFrame) -> DataFrame:
     """``df`` itself, after a smaller bound on the rows of an Arrow batch: whole texts may be long."""
     conf = df.sparkSession.conf

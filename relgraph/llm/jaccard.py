@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relgraph.llm.blocks import meet_blocks
-from relgraph.llm.common import FOLDED, flat, lean, mix, rows_out, slices, stored, text_bytes, words, Spans
+from relgraph.llm.common import FOLDED, flat, lean, mix, release, rows_out, slices, stored, text_bytes, words, Spans
 from relgraph.llm.components import components
 from relgraph.session import scratch
 
@@ -245,7 +245,7 @@ def _links(members: DataFrame, texts: DataFrame, width: int, share: int, fan: in
     sets = sets.join(large.select("tree", "band", "comp", F.col("comp").cast("string").alias("own")), ["tree", "band", "comp"], "left")
     sets = sets.withColumn("cell", F.coalesce("own", F.lit(_SHARED))).drop("own")
     count = sets.groupBy("tree", "band", "cell").agg(F.ceil(F.count("*") / fan).alias("dealt"))
-    sets = stored(sets.join(count, ["tree", "band", "cell"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets", folder)
+    sets = release(stored(sets.join(count, ["tree", "band", "cell"]).withColumn("node", F.pmod(F.xxhash64("doc_id"), "dealt")).drop("dealt"), "sets", folder))
     leaf = ["tree", "band", "cell", "node"]
     nodes = stored(_nodes(sets, *leaf), "nodes", folder)
     bands = stored(_nodes(nodes, "tree", "band"), "bands", folder)
@@ -269,14 +269,14 @@ def _links(members: DataFrame, texts: DataFrame, width: int, share: int, fan: in
     used = open_nodes.select(*leaf).unionByName(open_nodes.select("tree", *(F.col(f"to_{c}").alias(c) for c in leaf[1:]))).distinct()
     held = sets.select(*leaf, "doc_id", "comp").join(used, leaf)
     lying = held.join(texts.hint("merge"), "doc_id").groupBy(*leaf)
-    blocks = stored(lying.agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "text")).alias("x")), "leaves", folder, "zstd")
+    blocks = release(stored(lying.agg(F.collect_list(F.struct(F.col("doc_id").alias("rep"), "comp", "text")).alias("x")), "leaves", folder, "zstd"))
     there = blocks.select("tree", *(F.col(c).alias(f"to_{c}") for c in leaf[1:]), F.col("x").alias("y"))
     run, schema = meet_blocks(share, _sets_of(width))
     itself = F.struct(*leaf[1:]) == F.struct(*(F.col(f"to_{c}").alias(c) for c in leaf[1:]))
     # most leaves meet themselves alone and need no second move
     alone = open_nodes.where(itself).select(*leaf).join(blocks, leaf).select("x", F.col("x").alias("y"))
     pairs = open_nodes.where(~itself).join(blocks, leaf).join(there, ["tree", *(f"to_{c}" for c in leaf[1:])]).select("x", "y").unionByName(alone)
-    return stored(pairs.mapInArrow(run, schema).distinct(), "links")
+    return release(stored(pairs.mapInArrow(run, schema).distinct(), "links"))
 
 
 def _trees(sets: DataFrame) -> DataFrame:
@@ -305,15 +305,15 @@ def _groups(whole: DataFrame, cards: DataFrame, reps: DataFrame, width: int, sha
     run, schema = _roots(share)
     members = entries.repartition(F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
     alias = reps.join(cards.where("doc_id is not null"), key).select("doc_id", "rep").distinct()
-    members = stored(members, "members", folder)
+    members = release(stored(members, "members", folder))
     named = stored(members.join(alias, "doc_id").select("root", F.col("rep").alias("doc_id")).distinct(), "named", folder)
     several = named.groupBy("root").agg(F.count("*").alias("k")).where("k > 1").select("root")
     named = stored(named.join(several, "root"), "several", folder)
     ids = named.select("doc_id").distinct()
-    texts = stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", folder, "zstd")
+    texts = release(stored(whole.join(ids.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts", folder, "zstd"))
     run, schema = _signatures(width)
     drawn = stored(texts.mapInArrow(run, schema).withColumns({"lo": F.col("n"), "hi": F.col("n")}), "signatures", folder)
-    hung = stored(_trees(named.select("root", "doc_id", F.col("doc_id").alias("comp"))).join(drawn, "doc_id"), "hung", folder)
+    hung = release(stored(_trees(named.select("root", "doc_id", F.col("doc_id").alias("comp"))).join(drawn, "doc_id"), "hung", folder))
     links = traverse(hung, texts, width, share, first=True)
     groups = stored(components(links), "groups")
     placed = hung.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")

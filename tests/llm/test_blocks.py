@@ -1,6 +1,10 @@
+import time
+
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from relgraph.llm import blocks, jaccard
+from relgraph.llm.common import release, stored
 
 KIND = pa.list_(pa.struct([("rep", pa.int64()), ("comp", pa.int64()), ("text", pa.string())]))
 
@@ -38,3 +42,19 @@ def test_leaves_of_texts_meet(monkeypatch):
     for got, (left, right) in zip(found, (((4, 0, 5),) * 2, ((4, 0, 5), (1, 2, 3, 6)), ((1, 2, 3, 6),) * 2)):
         assert groups(got) == groups(links(left, right))
     assert made == [[4, 0, 5], [1, 2, 3, 6], [1, 2, 3, 6]]
+
+
+def test_files_of_a_shuffle_go_once_its_table_is_stored(spark, tmp_path):
+    """A driver with room to spare collects no garbage, and what only garbage refers to fills the disk."""
+    env = spark._jvm.org.apache.spark.SparkEnv
+    lying = lambda: sum(".data" in part for part in env.get().blockManager().diskBlockManager().getAllFiles().toString().split(","))
+    release(spark.range(1))
+    before = lying()
+    kept = stored(spark.range(2000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts", str(tmp_path))
+    made = lying()
+    assert made > before and release(kept) is kept
+    for _ in range(100):
+        if lying() < made:
+            break
+        time.sleep(0.1)
+    assert lying() < made and kept.count() == 7
